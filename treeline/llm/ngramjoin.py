@@ -10,9 +10,10 @@ n - 1 (frequent) of them that the other set lacks, more in all than the
 similarity lets a set lack. What the index proposes is verified on whole sets.
 
 Equal sets share one set id and are indexed and verified once. Groups of near
-copies are verified against one pivot per set first; only sets that are still
-in different components are paired inside a bucket after that, so a group of
-thousands costs thousands of comparisons, not millions.
+copies are verified against one pivot per set first, then in large buckets
+against a few random members; only sets that are still in different components
+are paired inside a bucket after that, all of them. So a group of thousands
+costs some tens of thousands of comparisons, not millions.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing. A document of fewer words than a shingle has its whole
@@ -36,17 +37,20 @@ from treeline.llm.components import components
 from treeline.llm.session import Stored, small_side, stored
 from treeline.llm.textbatch import Words, mix64, shingles, text_slices
 
-#: Frequencies are counted for the quarter of all shingles whose hash is below this; the rest counts as rare.
-COUNTED_BITS = 62
-#: A counted shingle is frequent from so many documents on; more where the list would outgrow FREQUENT_MOST.
+#: A shingle is frequent from so many documents on; more where the list would outgrow FREQUENT_MOST.
 FREQUENT_FROM = 50
+#: Shingles that one task counts, on average.
+COUNTED_AT_ONCE = 4_000_000
 #: The list of frequent shingles that each task gets has so many at most (8 bytes each), by choice of the threshold.
 FREQUENT_MOST = 1 << 20
 #: Prefixes are extended so that similar sets share so many rare signatures, which prunes candidates by counting.
-SHARED = 8
+SHARED = 16
 #: Frequent shingles pair up within one of so many classes in sets of over SMALL_SET elements, in a single class below.
 SUBCLASSES = 16
 SMALL_SET = 128
+#: Rounds of random partners in buckets of more components than MANY (as long as a tenth of the partners link), and partners
+#: of a set in a round. All that is left is paired exactly.
+ROUNDS, MANY, PARTNERS = 6, 16, 8
 
 
 def missing(n: int, percent: int) -> int:
@@ -61,20 +65,17 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     """
     n = len(tokens)
     lacks = missing(n, percent)
-    cut = int(np.searchsorted(tokens, np.uint64(1 << COUNTED_BITS)))
-    low = tokens[:cut]
-    if len(frequent) and cut:
-        at = np.minimum(np.searchsorted(frequent, low), len(frequent) - 1)
-        hot = frequent[at] == low
-    else:
-        hot = np.zeros(cut, bool)
-    rare = np.concatenate((low[~hot], tokens[cut:]))
-    shared = min(SHARED, n - lacks)
-    if len(rare) >= lacks + shared:
+    hot = np.zeros(n, bool)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+        hot = frequent[at] == tokens
+    rare = tokens[~hot]
+    shared = min(SHARED, len(rare) - lacks)
+    if shared > 0:
         return rare[: lacks + shared], shared
     out = [rare]
-    if len(rare) < lacks + 1:
-        often, need = low[hot], lacks + 1 - len(rare)
+    often, need = tokens[hot], lacks + 1 - len(rare)
+    if len(often):
         if n <= SMALL_SET:
             out.append(_pairs(often[: need + 1], 1))
         if 5 * n > 4 * SMALL_SET:
@@ -107,33 +108,76 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, np.concatenate(rows or [np.zeros(0, np.uint64)]).view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, k: int, counted_only: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, set_id, n (set size), tokens: the set's hashes, or those whose frequency is counted."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+
+
+def shingle_sets(docs: DataFrame, k: int, with_tokens: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, set_id, n (set size) and, if asked for, tokens: the set's sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches, "text"):
             sets = shingles(Words(data, offsets), rows.num_rows, k)
-            kept = [s[: int(np.searchsorted(s, np.uint64(1 << COUNTED_BITS)))] for s in sets] if counted_only else sets
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0).cast(pa.int64()), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(kept)],
-                ["doc_id", "set_id", "n", "tokens"],
-            )
+            found = [rows.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*found, *([_lists(sets)] if with_tokens else [])], ["doc_id", "set_id", "n", *(["tokens"] if with_tokens else [])])
+
+    more = [T.StructField("tokens", T.ArrayType(T.LongType()))] if with_tokens else []
+    return _texts(docs, id_col, text_col).mapInArrow(run, T.StructType([*_SETS.fields, *more]))
 
-    schema = T.StructType([*_SETS.fields, T.StructField("tokens", T.ArrayType(T.LongType()))])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null").mapInArrow(run, schema)
 
+def _frequent(docs: DataFrame, k: int, total: int, id_col: str, text_col: str) -> np.ndarray:
+    """Sorted hashes of frequent shingles of all documents.
 
-def _frequent(counted: DataFrame) -> np.ndarray:
-    """Sorted hashes of frequent shingles, FREQUENT_MOST at most whatever the input: n of them need n x threshold occurrences."""
-    counts = counted.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where(f"df >= {FREQUENT_FROM}")
+    FREQUENT_MOST at most whatever the input: that many need as many times the
+    threshold occurrences. Each task sorts its shingles and deals them by ranges
+    of hashes, so that a range of bounded size is counted in one sort.
+    """
+    ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // COUNTED_AT_ONCE))
+    bounds = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
+
+    def dealt(tokens: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.sort(np.concatenate(tokens))
+        first = np.concatenate(([True], own[1:] != own[:-1]))
+        at = np.flatnonzero(first)
+        own, counts = own[at], np.diff(np.concatenate((at, [len(own)]))).astype(np.uint32)
+        cuts = [0, *np.searchsorted(own, bounds).tolist(), len(own)]
+        rows = [(r, own[a:b].tobytes(), counts[a:b].tobytes() if counts[a:b].max() > 1 else b"") for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["r", "t", "c"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for rows, data, offsets in text_slices(batches, "text"):
+            held += shingles(Words(data, offsets), rows.num_rows, k)
+            size += sum(map(len, held[-rows.num_rows :]))
+            if size >= COUNTED_AT_ONCE:
+                yield dealt(held)
+                held, size = [], 0
+        if size:
+            yield dealt(held)
+
+    def count(table: pa.Table) -> pa.Table:
+        tokens, times = [], []
+        for t, c in zip(table.column("t").to_pylist(), table.column("c").to_pylist(), strict=True):
+            tokens.append(np.frombuffer(t, np.uint64))
+            times.append(np.frombuffer(c, np.uint32) if c else np.ones(len(t) // 8, np.uint32))
+        own, df = np.concatenate(tokens), np.concatenate(times)
+        order = np.argsort(own)
+        own, df = own[order], df[order].astype(np.int64)
+        at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        df = np.add.reduceat(df, at)
+        often = df >= FREQUENT_FROM
+        return pa.table({"t": own[at][often].view(np.int64), "df": df[often]})
+
+    counts = _texts(docs, id_col, text_col).mapInArrow(deal, "r int, t binary, c binary").groupBy("r").applyInArrow(count, "t long, df long")
     table = Stored(counts, "frequent")
-    n, total = table.df.agg(F.count("*"), F.sum("df")).first()
+    n, occurrences = table.df.agg(F.count("*"), F.sum("df")).first()
     least = FREQUENT_FROM
     if n > FREQUENT_MOST:
-        least = max(least, -(-total // FREQUENT_MOST))
-    found = table.df.where(F.col("df") >= least).select("t").toArrow().column("t").to_numpy()
+        least = max(least, -(-occurrences // FREQUENT_MOST))
+    found = table.df.where(F.col("df") >= least).select("t").toArrow().column("t").to_numpy().astype(np.int64)
     table.drop()
-    return np.sort(found.view(np.uint64) if found.dtype == np.int64 else found.astype(np.int64).view(np.uint64))
+    return np.sort(found.view(np.uint64))
 
 
 def _postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -154,7 +198,7 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, id_co
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([s.view(np.int64) for s in sigs], ids, sizes, common)], ["sig", "set_id", "n", "shared"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null").mapInArrow(run, "sig long, set_id long, n int, shared byte")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "sig long, set_id long, n int, shared byte")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,8 +220,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links to other sets that the search needed to settle components.
     """
     spark: SparkSession = docs.sparkSession
-    counted = stored(shingle_sets(docs, k, True, id_col, text_col), "sets")
-    frequent = _frequent(counted)
+    counted = stored(shingle_sets(docs, k, False, id_col, text_col), "sets")
+    frequent = _frequent(docs, k, counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], id_col, text_col)
 
     one = counted.groupBy("doc_id").agg(F.min(F.struct("set_id", "n")).alias("s")).select("doc_id", "s.set_id", "s.n")
     by_set = Window.partitionBy("sig")
@@ -185,33 +229,55 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     index = index.withColumns({"low": F.min("set_id").over(by_set), "high": F.max("set_id").over(by_set)}).where("low < high").select("sig", "set_id", "n", "shared", "low")
     index = stored(index.dropDuplicates(["sig", "set_id"]), "index")
 
-    sizes = stored(index.groupBy("set_id").agg(F.first("n").alias("n")), "candidates")
-    first = stored(one.join(small_side(sizes.select("set_id")), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first")
-    keep = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(small_side(first), "doc_id", "left_semi")
-    sets = stored(shingle_sets(keep, k, False).dropDuplicates(["set_id"]).select("set_id", "tokens"), "whole")
-
-    # Each set against one pivot: the smallest set id of any bucket that its size allows.
-    small = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    star = (
-        index.where("low < set_id").groupBy("set_id", "n", "low").agg(F.count("*").alias("c"))
-        .join(sizes.select(F.col("set_id").alias("low"), F.col("n").alias("m")), "low").where(small)
-        .groupBy(F.col("set_id").alias("b")).agg(F.max_by("low", F.struct("c", "low")).alias("a")).select("a", "b")
-    )
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of set ids those whose whole sets reach the similarity; only sets that stand in a pair are built."""
+        ends = stored(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct(), "ends")
+        first = stored(one.join(small_side(ends), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first")
+        keep = _texts(docs, id_col, text_col).join(small_side(first), "doc_id", "left_semi")
+        sets = shingle_sets(keep, k, True).dropDuplicates(["set_id"]).select("set_id", "tokens")
+        return stored(_verified(pairs, sets, percent), "links")
+
+    # Each set against one pivot, the smallest set id of most of its buckets, if they share what similar sets do.
+    star = index.where("low < set_id").groupBy(F.col("set_id").alias("b"), F.col("low").alias("a")).agg(F.count("*").alias("c"), F.first("shared").alias("least"))
+    star = star.where("c >= least").groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
     tried = stored(star, "tried")
-    links = stored(_verified(tried, sets, percent), "links")
+    links = verified(tried)
     label = components(links)
 
-    # Sets that share a bucket and are still apart, pair by pair.
-    part = index.join(label, index.set_id == label.id, "left").select("sig", "set_id", "n", "shared", F.coalesce("component", "set_id").alias("part"))
-    part = part.withColumns({"low": F.min("part").over(by_set), "high": F.max("part").over(by_set)}).where("low < high").drop("low", "high")
+    def apart(label: DataFrame) -> DataFrame:
+        """The index without the buckets whose sets are all in one component."""
+        part = index.join(label, index.set_id == label.id, "left").select("sig", "set_id", "n", "shared", F.coalesce("component", "set_id").alias("part"))
+        return part.withColumns({"low": F.min("part").over(by_set), "high": F.max("part").over(by_set)}).where("low < high").drop("low", "high")
+
+    # In buckets of many components, each set against random others: a few rounds join large groups whose members are not all alike.
+    for turn in range(ROUNDS):
+        part = stored(apart(label), "apart")
+        large = part.groupBy("sig").agg(F.countDistinct("part").alias("parts")).where(f"parts > {MANY}").select("sig")
+        ring = Window.partitionBy("sig").orderBy(F.xxhash64("set_id", F.lit(turn)))
+        near = part.join(large, "sig").select("set_id", "n", "part", F.lead("set_id").over(ring).alias("b"), F.lead("n").over(ring).alias("m"), F.lead("part").over(ring).alias("other"))
+        near = near.where(f"part <> other and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
+        one_side, two_side = part.select(F.col("set_id").alias("a"), "sig", F.col("shared").alias("sa")), part.select(F.col("set_id").alias("b"), "sig", F.col("shared").alias("sb"))
+        near = near.join(one_side, "a").join(two_side, ["b", "sig"]).groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("sa", "sb")).alias("least")).where("c >= least")
+        first = Window.partitionBy("a").orderBy(F.xxhash64("b", F.lit(turn)))
+        near = near.withColumn("rn", F.row_number().over(first)).where(f"rn <= {PARTNERS}").select("a", "b").join(tried, ["a", "b"], "left_anti")
+        near = stored(near, "near")
+        if (asked := near.count()) == 0:
+            break
+        found = verified(near)
+        tried, links = tried.unionByName(near), links.unionByName(found)
+        label = components(links)
+        if 10 * found.count() < asked:
+            break
+
+    # Sets that share a bucket and are still apart, pair by pair: this is exact for whatever the rounds left.
+    part = apart(label)
     x, y = part.alias("x"), part.alias("y")
     pairs = (
         x.join(y, F.expr(f"x.sig = y.sig and x.set_id < y.set_id and x.part <> y.part and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
         .groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("x.shared", "y.shared")).alias("least"))
         .where("c >= least").select("a", "b").join(tried, ["a", "b"], "left_anti")
     )
-    more = stored(_verified(pairs, sets, percent), "more")
-    links = links.unionByName(more)
+    links = links.unionByName(verified(stored(pairs, "pairs")))
     label = components(links)
 
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
