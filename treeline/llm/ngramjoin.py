@@ -40,10 +40,10 @@ from treeline.llm.textbatch import Words, mix64, shingles, text_slices
 #: A shingle is frequent from so many documents on; more where the list would outgrow FREQUENT_MOST.
 FREQUENT_FROM = 50
 #: Shingles that one task counts, on average.
-COUNTED_AT_ONCE = 4_000_000
+COUNTED_AT_ONCE = 1_000_000
 #: The list of frequent shingles that each task gets has so many at most (8 bytes each), by choice of the threshold.
 FREQUENT_MOST = 1 << 20
-#: Prefixes are extended so that similar sets share so many rare signatures, which prunes candidates by counting.
+#: Prefixes go on for so many rare shingles, if there are more: what two sets share of them prunes candidates by counting.
 SHARED = 16
 #: Frequent shingles pair up within one of so many classes in sets of over SMALL_SET elements, in a single class below.
 SUBCLASSES = 16
@@ -58,10 +58,11 @@ def missing(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """(signatures, shared): what a set of sorted hashes is indexed under, and how many rare ones any similar set shares.
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rare, pairs): the shingles and the pairs of frequent ones that a set of sorted hashes is indexed under.
 
-    shared is 0 if the set needed frequent shingles, and then says nothing.
+    rare is the beginning of the set in the global order; pairs are needed if
+    all rare shingles are too few.
     """
     n = len(tokens)
     lacks = missing(n, percent)
@@ -70,25 +71,20 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         hot = frequent[at] == tokens
     rare = tokens[~hot]
-    shared = min(SHARED, len(rare) - lacks)
-    if shared > 0:
-        return rare[: lacks + shared], shared
-    out = [rare]
-    often, need = tokens[hot], lacks + 1 - len(rare)
-    if len(often):
-        if n <= SMALL_SET:
-            out.append(_pairs(often[: need + 1], 1))
-        if 5 * n > 4 * SMALL_SET:
-            cls = (mix64(often) % np.uint64(SUBCLASSES)).astype(np.int64)
-            order = np.argsort(cls, kind="stable")
-            rank = np.empty(len(often), np.int64)
-            sorted_cls = cls[order]
-            rank[order] = np.arange(len(often)) - np.searchsorted(sorted_cls, sorted_cls)
-            enough = int(np.searchsorted(np.cumsum(rank > 0), need)) + 1
-            for c in range(SUBCLASSES):
-                own = often[:enough][cls[:enough] == c]
-                out.append(_pairs(own, 2 + c))
-    return np.concatenate(out), 0
+    if len(rare) > lacks:
+        return rare[: lacks + SHARED], rare[:0]
+    out, often, need = [rare[:0]], tokens[hot], lacks + 1 - len(rare)
+    if n <= SMALL_SET:
+        out.append(_pairs(often[: need + 1], 1))
+    if 5 * n > 4 * SMALL_SET:
+        cls = (mix64(often) % np.uint64(SUBCLASSES)).astype(np.int64)
+        order = np.argsort(cls, kind="stable")
+        rank = np.empty(len(often), np.int64)
+        sorted_cls = cls[order]
+        rank[order] = np.arange(len(often)) - np.searchsorted(sorted_cls, sorted_cls)
+        enough = int(np.searchsorted(np.cumsum(rank > 0), need)) + 1
+        out += [_pairs(often[:enough][cls[:enough] == c], 2 + c) for c in range(SUBCLASSES)]
+    return rare, np.concatenate(out)
 
 
 def _pairs(tokens: np.ndarray, salt: int) -> np.ndarray:
@@ -100,7 +96,15 @@ def _set_id(tokens: np.ndarray) -> int:
     return int(mix64(mix64(tokens).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens)))[0].astype(np.int64)) if len(tokens) else 0
 
 
-_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("n", T.LongType())])
+#: Words of 64 bits of a set's odd sketch: each element flips one bit, so sets differ in as many elements at least as sketches in bits.
+SKETCH = 8
+_SKETCH = [f"k{i}" for i in range(SKETCH)]
+_SETS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "set_id", "n")])
+
+
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    bits = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -113,15 +117,16 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int, with_tokens: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, set_id, n (set size) and, if asked for, tokens: the set's sorted hashes."""
+    """doc_id, set_id, n (set size), and tokens, the set's sorted hashes, or else its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches, "text"):
             sets = shingles(Words(data, offsets), rows.num_rows, k)
             found = [rows.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*found, *([_lists(sets)] if with_tokens else [])], ["doc_id", "set_id", "n", *(["tokens"] if with_tokens else [])])
+            extra = [_lists(sets)] if with_tokens else [pa.array(c) for c in np.array([_sketch(s) for s in sets]).T]
+            yield pa.RecordBatch.from_arrays([*found, *extra], ["doc_id", "set_id", "n", *(["tokens"] if with_tokens else _SKETCH)])
 
-    more = [T.StructField("tokens", T.ArrayType(T.LongType()))] if with_tokens else []
+    more = [T.StructField("tokens", T.ArrayType(T.LongType()))] if with_tokens else [T.StructField(c, T.LongType()) for c in _SKETCH]
     return _texts(docs, id_col, text_col).mapInArrow(run, T.StructType([*_SETS.fields, *more]))
 
 
@@ -181,24 +186,29 @@ def _frequent(docs: DataFrame, k: int, total: int, id_col: str, text_col: str) -
 
 
 def _postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """sig, set_id, n, shared: the index."""
+    """sig, set_id, n (set size), m (rare shingles indexed), rare (whether sig is one): the index."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sent.value
         for rows, data, offsets in text_slices(batches, "text"):
-            sigs, ids, sizes, common = [], [], [], []
+            sigs, ids, sizes, counts, kinds = [], [], [], [], []
             for s in shingles(Words(data, offsets), rows.num_rows, k):
                 if len(s) > 1 and missing(len(s) + missing(len(s), percent) + 1, percent) > 0:
-                    sig, shared = signatures(s, often, percent)
-                    sigs.append(sig)
-                    ids.append(np.full(len(sig), _set_id(s), np.int64))
-                    sizes.append(np.full(len(sig), len(s), np.int32))
-                    common.append(np.full(len(sig), shared, np.int8))
+                    rare, pairs = signatures(s, often, percent)
+                    n = len(rare) + len(pairs)
+                    sigs += [rare, pairs]
+                    ids.append(np.full(n, _set_id(s), np.int64))
+                    sizes.append(np.full(n, len(s), np.int32))
+                    counts.append(np.full(n, len(rare), np.int32))
+                    kinds.append(np.arange(n) < len(rare))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([s.view(np.int64) for s in sigs], ids, sizes, common)], ["sig", "set_id", "n", "shared"])
+                columns = [np.concatenate(x) for x in (sigs, ids, sizes, counts, kinds)]
+                for i in range(0, len(columns[0]), 1 << 18):
+                    own = [c[i : i + (1 << 18)] for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[0].view(np.int64)), *map(pa.array, own[1:])], ["sig", "set_id", "n", "m", "rare"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "sig long, set_id long, n int, shared byte")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "sig long, set_id long, n int, m int, rare boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,10 +234,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     frequent = _frequent(docs, k, counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], id_col, text_col)
 
     one = counted.groupBy("doc_id").agg(F.min(F.struct("set_id", "n")).alias("s")).select("doc_id", "s.set_id", "s.n")
-    by_set = Window.partitionBy("sig")
+    by_sig = Window.partitionBy("sig")
     index = _postings(docs, k, percent, frequent, id_col, text_col)
-    index = index.withColumns({"low": F.min("set_id").over(by_set), "high": F.max("set_id").over(by_set)}).where("low < high").select("sig", "set_id", "n", "shared", "low")
-    index = stored(index.dropDuplicates(["sig", "set_id"]), "index")
+    index = index.withColumns({"low": F.min("set_id").over(by_sig), "high": F.max("set_id").over(by_sig)}).where("low < high").drop("low", "high")
+    index = Stored(index.dropDuplicates(["sig", "set_id"]), "shared")
+    # Rare shingles that no other set has are none of an overlap: `most` bounds it. Sets that even so cannot link are left out.
+    sizes = index.df.groupBy("set_id").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum(F.col("rare").cast("int")).alias("s"))
+    sizes = sizes.select("set_id", "n", "m", (F.col("n") - F.col("m") + F.col("s")).cast("int").alias("most"))
+    sizes = sizes.where(f"{100 + percent} * most >= {percent} * (n + ceil({percent} * n / 100))")
+    table = Stored(index.df.select("sig", "set_id", "rare").join(sizes, "set_id"), "index")
+    index.drop()
+    index = table.df
+
+    def can(x: str, y: str) -> str:
+        """Whether sets of such sizes and bounds may reach the similarity."""
+        return f"{100 + percent} * least({x}most, {y}most) >= {percent} * ({x}n + {y}n)"
+
+    def enough(x: str, y: str) -> str:
+        """Of the set whose indexed beginning ends first, all that the other one has no match for is lacking: c of them match."""
+        return f"{100 + percent} * (c + greatest({x}n - {x}m, {y}n - {y}m)) >= {percent} * ({x}n + {y}n)"
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of set ids those whose whole sets reach the similarity; only sets that stand in a pair are built."""
@@ -237,29 +262,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         sets = shingle_sets(keep, k, True).dropDuplicates(["set_id"]).select("set_id", "tokens")
         return stored(_verified(pairs, sets, percent), "links")
 
-    # Each set against one pivot, the smallest set id of most of its buckets, if they share what similar sets do.
-    star = index.where("low < set_id").groupBy(F.col("set_id").alias("b"), F.col("low").alias("a")).agg(F.count("*").alias("c"), F.first("shared").alias("least"))
-    star = star.where("c >= least").groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    # Each set against one pivot, the smallest set id of most of its buckets that may link.
+    sides = index.select(F.col("set_id").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("most").alias("amost")).distinct()
+    star = index.withColumn("a", F.min("set_id").over(by_sig)).where("a < set_id").groupBy("set_id", "n", "m", "most", "a").agg(F.sum(F.col("rare").cast("int")).alias("c"))
+    star = star.join(sides, "a").where(can("", "a")).where(enough("", "a")).groupBy(F.col("set_id").alias("b")).agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
     tried = stored(star, "tried")
     links = verified(tried)
     label = components(links)
 
     def apart(label: DataFrame) -> DataFrame:
         """The index without the buckets whose sets are all in one component."""
-        part = index.join(label, index.set_id == label.id, "left").select("sig", "set_id", "n", "shared", F.coalesce("component", "set_id").alias("part"))
-        return part.withColumns({"low": F.min("part").over(by_set), "high": F.max("part").over(by_set)}).where("low < high").drop("low", "high")
+        part = index.join(label, index.set_id == label.id, "left").select(*index.columns, F.coalesce("component", "set_id").alias("part"))
+        return part.withColumns({"low": F.min("part").over(by_sig), "high": F.max("part").over(by_sig)}).where("low < high").drop("low", "high")
+
+    def likely(part: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those that share enough signatures."""
+        x = part.select("sig", "rare", F.col("set_id").alias("a"), F.col("n").alias("xn"), F.col("m").alias("xm"))
+        y = part.select("sig", F.col("set_id").alias("b"), F.col("n").alias("yn"), F.col("m").alias("ym"))
+        found = pairs.join(x, "a").join(y, ["b", "sig"]).groupBy("a", "b", "xn", "xm", "yn", "ym").agg(F.sum(F.col("rare").cast("int")).alias("c"))
+        return found.where(enough("x", "y")).select("a", "b")
 
     # In buckets of many components, each set against random others: a few rounds join large groups whose members are not all alike.
     for turn in range(ROUNDS):
         part = stored(apart(label), "apart")
         large = part.groupBy("sig").agg(F.countDistinct("part").alias("parts")).where(f"parts > {MANY}").select("sig")
         ring = Window.partitionBy("sig").orderBy(F.xxhash64("set_id", F.lit(turn)))
-        near = part.join(large, "sig").select("set_id", "n", "part", F.lead("set_id").over(ring).alias("b"), F.lead("n").over(ring).alias("m"), F.lead("part").over(ring).alias("other"))
-        near = near.where(f"part <> other and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
-        one_side, two_side = part.select(F.col("set_id").alias("a"), "sig", F.col("shared").alias("sa")), part.select(F.col("set_id").alias("b"), "sig", F.col("shared").alias("sb"))
-        near = near.join(one_side, "a").join(two_side, ["b", "sig"]).groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("sa", "sb")).alias("least")).where("c >= least")
+        other = F.lead(F.struct("set_id", "n", "most", "part")).over(ring)
+        near = part.join(large, "sig").withColumn("o", other).where("o is not null and part <> o.part").where(can("", "o."))
+        near = near.select(F.least("set_id", "o.set_id").alias("a"), F.greatest("set_id", "o.set_id").alias("b")).distinct()
         first = Window.partitionBy("a").orderBy(F.xxhash64("b", F.lit(turn)))
-        near = near.withColumn("rn", F.row_number().over(first)).where(f"rn <= {PARTNERS}").select("a", "b").join(tried, ["a", "b"], "left_anti")
+        near = likely(part, near).withColumn("rn", F.row_number().over(first)).where(f"rn <= {PARTNERS}").select("a", "b").join(tried, ["a", "b"], "left_anti")
         near = stored(near, "near")
         if (asked := near.count()) == 0:
             break
@@ -270,12 +302,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             break
 
     # Sets that share a bucket and are still apart, pair by pair: this is exact for whatever the rounds left.
+    sketches = counted.groupBy("set_id").agg(*(F.first(c).alias(c) for c in _SKETCH))
     part = apart(label)
+    part = part.join(sketches.join(part.select("set_id").distinct(), "set_id", "left_semi"), "set_id")
+    differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _SKETCH)
+    close = F.expr(f"{100 + percent} * (x.n + y.n - ({differ})) >= {2 * percent} * (x.n + y.n)")
     x, y = part.alias("x"), part.alias("y")
     pairs = (
-        x.join(y, F.expr(f"x.sig = y.sig and x.set_id < y.set_id and x.part <> y.part and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-        .groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("x.shared", "y.shared")).alias("least"))
-        .where("c >= least").select("a", "b").join(tried, ["a", "b"], "left_anti")
+        x.join(y, F.expr("x.sig = y.sig and x.set_id < y.set_id and x.part <> y.part") & F.expr(can("x.", "y.")) & close)
+        .selectExpr("x.set_id as a", "y.set_id as b", "x.n as xn", "x.m as xm", "y.n as yn", "y.m as ym", "x.rare")
+        .groupBy("a", "b", "xn", "xm", "yn", "ym").agg(F.sum(F.col("rare").cast("int")).alias("c"))
+        .where(enough("x", "y")).select("a", "b").join(tried, ["a", "b"], "left_anti")
     )
     links = links.unionByName(verified(stored(pairs, "pairs")))
     label = components(links)
