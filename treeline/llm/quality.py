@@ -5,7 +5,7 @@ root of their number; statistics of its structure (signs, cases, repetition,
 lines, words); and its length as metadata. The machine has a weight for each
 feature and RANK latent factors for pairwise interactions, summed in time
 linear in the features by half of (sum)^2 - sum of squares. Probabilities are a
-logistic of that; it is fitted by full-batch gradient steps on a bounded sample.
+logistic of that; it is fitted by gradient steps on batches of a bounded sample.
 
 Defined results: null and empty texts are scored like any other, on features
 that are all zero. Without labels of either kind every score is the share of
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from treeline.llm.sampling import labelled_sample
 from treeline.llm.textbatch import ALNUM, NOT_SPACE, Words, text_slices
 
-#: Hashed words, latent factors, labelled texts in the sample, gradient steps and their size, weight decay.
-BUCKETS, RANK, SAMPLE, STEPS, RATE, DECAY = 1 << 12, 8, 6_000, 240, 0.05, 2e-4
+#: Hashed words, latent factors, labelled texts in the sample, gradient steps, texts and size of a step, weight decay.
+BUCKETS, RANK, SAMPLE, STEPS, BATCH, RATE, DECAY = 1 << 12, 8, 6_000, 400, 512, 0.03, 2e-4
 
 _KINDS = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (32, 9, 11, 12), "line": (10, 13), "stop": b".,;:?",
@@ -97,9 +97,10 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.inputs(x, stats)), -30, 30)))
 
 
-def fit_arrays(x: np.ndarray, stats: np.ndarray, y: np.ndarray, steps: int = STEPS) -> FactorisationMachine:
+def fit_arrays(bits: np.ndarray, stats: np.ndarray, y: np.ndarray, steps: int = STEPS) -> FactorisationMachine:
+    """bits: packed presence of words, a row for each text. Steps go over batches of BATCH texts in a fixed shuffle."""
     rng = np.random.default_rng(13)
-    width = x.shape[1] + stats.shape[1]
+    width = BUCKETS + stats.shape[1]
     p = (float(y.sum()) + 1) / (len(y) + 2) if len(y) else 0.5
     centre = stats.mean(0) if len(y) else np.zeros(stats.shape[1], np.float32)
     scale = stats.std(0) + 1e-3 if len(y) else np.ones(stats.shape[1], np.float32)
@@ -107,13 +108,18 @@ def fit_arrays(x: np.ndarray, stats: np.ndarray, y: np.ndarray, steps: int = STE
     if not 0 < y.sum() < len(y):
         return model
     model.factors = rng.normal(0, 0.03, (width, RANK)).astype(np.float32)
-    z = model.inputs(x, stats)
-    squares = z**2
     state = [[np.zeros_like(v), np.zeros_like(v)] for v in (model.weights, model.factors)]
+    order = rng.permutation(len(y))
+    at = 0
     for step in range(1, steps + 1):
+        rows = order[at : at + BATCH]
+        at = at + BATCH if at + BATCH < len(y) else 0
+        x = np.unpackbits(bits[rows], axis=1).astype(np.float32)
+        z = model.inputs(x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)), stats[rows])
+        squares = z**2
         s = z @ model.factors
         logit = model.bias + z @ model.weights + 0.5 * (s**2 - squares @ model.factors**2).sum(1)
-        err = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)).astype(np.float32)
+        err = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[rows]) / len(rows)).astype(np.float32)
         grad_w = z.T @ err + DECAY * model.weights
         grad_v = z.T @ (err[:, None] * s) - model.factors * (squares.T @ err)[:, None] + DECAY * model.factors
         model.bias -= RATE * 4 * float(err.sum())
@@ -130,18 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "quality"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches, "text", 1 << 18):
             x, stats = features(data, offsets)
-            ids = [np.flatnonzero(r).astype(np.uint16).tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(ids, pa.binary()), pa.array([s.tobytes() for s in stats], pa.binary())], ["doc_id", "label", "ids", "stats"])
+            ids = [np.packbits(r > 0).tobytes() for r in x]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(ids, pa.binary()), pa.array([s.tobytes() for s in stats], pa.binary())], ["doc_id", "label", "bits", "stats"])
 
     sampled = labelled_sample(docs, labels, label, fold, sample, id_col, text_col)
-    found = sorted(tuple(r) for r in sampled.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, ids binary, stats binary").collect())
-    x = np.zeros((len(found), BUCKETS), np.float32)
-    stats = np.zeros((len(found), N_STATS), np.float32)
-    for i, (_, _, ids, own) in enumerate(found):
-        at = np.frombuffer(ids, np.uint16)
-        x[i, at] = 1 / np.sqrt(max(len(at), 1))
-        stats[i] = np.frombuffer(own, np.float32)
-    return fit_arrays(x, stats, np.array([r[1] for r in found], np.float32))
+    found = sampled.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, bits binary, stats binary").toArrow().sort_by([("doc_id", "ascending"), ("bits", "ascending")])
+    bits = np.frombuffer(b"".join(found.column("bits").to_pylist()), np.uint8).reshape(found.num_rows, BUCKETS // 8)
+    stats = np.frombuffer(b"".join(found.column("stats").to_pylist()), np.float32).reshape(found.num_rows, N_STATS)
+    return fit_arrays(bits, stats, found.column("label").to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
