@@ -6,7 +6,7 @@ stand for, each run of one letter offers one or two of it. Viterbi decoding
 under a character trigram model, plus a cost for each way of writing, picks the
 restored word. A token without such signs has a lattice of one path and passes
 as it is. A logistic regression on presence of words and word beginnings then
-scores the restored text.
+scores the restored text, in a noisy-or with marks that are sure on their own.
 
 The trigram model and the regression are fitted on a bounded sample of labelled
 texts; scoring reads whole texts. Defined results: a null, empty or letterless
@@ -33,7 +33,13 @@ from treeline.llm.sampling import labelled_sample
 from treeline.llm.textbatch import ALNUM, Words, text_slices
 
 #: Labelled texts in the sample; hashed features; those selected; ridge.
-SAMPLE, BITS, SELECTED, RIDGE = 12_000, 18, 2_048, 0.02
+SAMPLE, BITS, SELECTED, RIDGE = 12_000, 22, 1_024, 0.02
+#: Steps of the regression, and their size.
+STEPS, RATE = 150, 0.02
+#: A feature in such a share of toxic texts, that are such a share of its own texts by a lower bound, is a sure mark: one is enough.
+SURE_FROM, SURE_SHARE = 0.04, 0.9
+#: How many standard errors above zero a feature's log ratio stands to be selected.
+LEAST_Z = 3.0
 #: Lengths in bytes of word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5, 6)
 #: Tokens that a worker remembers the restored form of; forgotten all at once, which changes no result.
@@ -171,44 +177,57 @@ class ToxicityModel:
     column: np.ndarray
     weights: np.ndarray
     bias: float
+    doubt: np.ndarray
 
     def scores(self, texts: list[str], restorer: Restorer) -> np.ndarray:
         row, ids = feature_ids(*_buffers([restorer.text(t) for t in texts]))
         column = self.column[ids]
         z = np.zeros((len(texts), len(self.weights) + 1), np.float32)
         z[row, column] = 1  # the last column takes what is not selected
-        return 1 / (1 + np.exp(-np.clip(self.bias + z[:, :-1].astype(np.float64) @ self.weights, -30, 30)))
+        z = z[:, :-1].astype(np.float64)
+        regression = 1 / (1 + np.exp(-np.clip(self.bias + z @ self.weights, -30, 30)))
+        return 1 - (1 - regression) * np.exp(z @ np.log(self.doubt))
 
 
 def fit_arrays(rows: list[np.ndarray], y: np.ndarray, chars: CharModel) -> ToxicityModel:
-    """rows: the distinct feature ids of each text."""
+    """rows: the distinct feature ids of each text; texts with the same ones count once."""
+    first = {(r.tobytes(), int(v)): i for i, (r, v) in reversed([*enumerate(zip(rows, y, strict=True))])}
+    own = sorted(first.values())
+    rows, y = [rows[i] for i in own], y[own]
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    none = ToxicityModel(chars, np.zeros(1 << BITS, np.int32), np.zeros(0), -30.0 if not len(y) else math.log((n1 + 1e-3) / (n0 + 1e-3)))
+    none = ToxicityModel(chars, np.zeros(1 << BITS, np.int16), np.zeros(0), -30.0 if not len(y) else math.log((n1 + 1e-3) / (n0 + 1e-3)), np.ones(0))
     if not n1 or not n0:
         return none
-    toxic = np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v]), minlength=1 << BITS)
-    clean = np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if not v]), minlength=1 << BITS)
-    a, b = (toxic + 0.5) / (n1 + 1), (clean + 0.5) / (n0 + 1)
-    z = np.log(a / b) / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    z[toxic + clean < 3] = 0
-    z[z < 0] *= 0.5  # what marks toxic texts is rare, what marks clean ones is not
-    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:SELECTED])
-    column = np.full(1 << BITS, len(chosen), np.int32)
+    toxic, clean = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for r, v in zip(rows, y, strict=True):
+        (toxic if v else clean)[r] += 1
+    # what marks a text as toxic counts; nothing that a toxic text may hold besides makes it clean
+    marks = np.flatnonzero(toxic >= 3)
+    a, b = (toxic[marks] + 0.5) / (n1 + 1), (clean[marks] + 0.5) / (n0 + 1)
+    z = np.log(a / b) / np.sqrt(1 / (toxic[marks] + 0.5) + 1 / (clean[marks] + 0.5))
+    chosen = np.sort(marks[np.argsort(-z, kind="stable")[: min(SELECTED, int((z >= LEAST_Z).sum()))]])
+    toxic, clean = toxic[chosen], clean[chosen]
+    column = np.full(1 << BITS, len(chosen), np.int16)
     column[chosen] = np.arange(len(chosen))
     x = np.zeros((len(rows), len(chosen) + 1), np.float32)
     for i, r in enumerate(rows):
         x[i, column[r]] = 1
-    x = x[:, :-1]
-    w, bias, target = np.zeros(x.shape[1], np.float32), math.log(n1 / n0), y.astype(np.float32)
+    x = np.ascontiguousarray(x[:, :-1])
+    # from half the log ratios, smoothed so that rare marks alone do not suffice, to a regression
+    w = (0.5 * np.log((toxic + 0.5) / (n1 + 1) / ((clean + 3) / (n0 + 6)))).astype(np.float32)
+    bias, target = math.log(n1 / n0), y.astype(np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, 501):
+    for step in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-np.clip(bias + x @ w, -30, 30)))
         err = (p - target) / len(y)
         grad = x.T @ err + RIDGE / len(y) * 10 * w
-        bias -= 2.0 * float(err.sum())
+        bias -= 20 * RATE * float(err.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        w -= 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-    return ToxicityModel(chars, column, w.astype(np.float64), bias)
+        w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+    n, share = toxic + clean, toxic / (toxic + clean)
+    sure = (share + 2 / n - 2 * np.sqrt(share * (1 - share) / n + 1 / n**2)) / (1 + 4 / n)  # Wilson's lower bound at two standard errors
+    doubt = np.where((toxic >= max(8, SURE_FROM * n1)) & (sure >= SURE_SHARE), 1 - sure, 1.0)
+    return ToxicityModel(chars, column, w.astype(np.float64), bias, doubt)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
@@ -239,8 +258,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "toxic",
             own = [np.unique(found[row == i]).astype(np.int32).tobytes() for i in range(rows.num_rows)]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(own, pa.binary())], ["doc_id", "label", "ids"])
 
-    found = sorted(tuple(r) for r in sampled.mapInArrow(ids, "doc_id long, label int, ids binary").collect())
-    return fit_arrays([np.frombuffer(r[2], np.int32) for r in found], np.array([r[1] for r in found], np.int64), chars)
+    found = sampled.mapInArrow(ids, "doc_id long, label int, ids binary").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+    return fit_arrays([np.frombuffer(r, np.int32) for r in found.column("ids").to_pylist()], found.column("label").to_numpy().astype(np.int64), chars)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
