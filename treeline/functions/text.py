@@ -9,6 +9,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as browsers' scripts see it: no-break and other Unicode blanks too.
 BLANK = r"[\t\n\x0B\f\r    -     　﻿]"
@@ -31,7 +32,7 @@ def excerpt(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit("…")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def utf16_prefix(texts: pd.Series, limits: pd.Series) -> pd.Series:
     """The first units of UTF-16, never half of a pair."""
     return pd.Series([None if t is None else t.encode("utf-16-le", "surrogatepass")[: 2 * n].decode("utf-16-le", "ignore") for t, n in zip(texts, limits, strict=True)])
@@ -73,7 +74,7 @@ def strict_json(text: str) -> object:
     return json.loads(text, object_pairs_hook=pairs, parse_constant=constant, parse_float=number)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """The canonical form of strict JSON; null for what is none."""
 
@@ -108,7 +109,7 @@ def resolve_pointer(value: object, pointer: str) -> object:
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_pointer(texts: pd.Series, pointers: pd.Series) -> pd.Series:
     """The canonical JSON that the pointer names; null if it names nothing."""
 
