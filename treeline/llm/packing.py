@@ -105,7 +105,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, steps: in
         if len(open_bins) < 2:
             break
         donor = int(open_bins[np.argmin(fill[open_bins])])
-        improved = True
+        improved, before = True, steps
         while improved and fill[donor] > 0 and steps > 0:
             improved = False
             room = capacity - fill
@@ -116,11 +116,11 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, steps: in
             own = sorted(np.flatnonzero(bins == donor).tolist(), key=lambda i: -lengths[i])
             for out in [*([i] for i in own), *([i, j] for i, j in zip(own, own[1:], strict=False))]:
                 size = int(lengths[out].sum())
-                fits = np.flatnonzero(room >= size)
+                fits = np.flatnonzero((room >= size) & (fill + size > fill[donor]))
                 if len(fits):  # outright, to the fullest bin with room
                     to, back = int(fits[np.argmin(room[fits])]), []
                 else:
-                    gain = np.where((own_len < size) & (size - own_len <= own_room), size - own_len, 0)
+                    gain = np.where((own_len < size) & (size - own_len <= own_room) & (fill[bins[items]] + size - own_len > fill[donor]), size - own_len, 0)
                     best = int(np.argmax(gain)) if len(gain) else -1
                     if best >= 0 and gain[best] > 0:
                         to, back = int(bins[items[best]]), [int(items[best])]
@@ -142,6 +142,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, steps: in
                 break
         if fill[donor] == 0:
             alive -= 1
+        if steps < before:  # what other bins could not do may be possible now
             tired[:] = False
         tired[donor] = True
     return np.unique(bins, return_inverse=True)[1] if len(bins) else bins
