@@ -29,9 +29,9 @@ from treeline.llm.session import stored
 from treeline.llm.wordbpe import encoder
 
 #: Pieces of a group, on average. A group leaves about one sequence unfilled.
-GROUP = 32_768
-#: Exchanges that the local search may make in a group.
-STEPS = 4_000
+GROUP = 16_384
+#: Exchanges that the local search looks for in a group; each costs time in proportion to the group.
+STEPS = 1_500
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -105,7 +105,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, steps: in
         if len(open_bins) < 2:
             break
         donor = int(open_bins[np.argmin(fill[open_bins])])
-        improved, before = True, steps
+        improved, moved = True, False
         while improved and fill[donor] > 0 and steps > 0:
             improved = False
             room = capacity - fill
@@ -115,6 +115,9 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, steps: in
             own_len, own_room = lengths[items], room[bins[items]]
             own = sorted(np.flatnonzero(bins == donor).tolist(), key=lambda i: -lengths[i])
             for out in [*([i] for i in own), *([i, j] for i, j in zip(own, own[1:], strict=False))]:
+                if steps <= 0:
+                    break
+                steps -= 1
                 size = int(lengths[out].sum())
                 fits = np.flatnonzero((room >= size) & (fill + size > fill[donor]))
                 if len(fits):  # outright, to the fullest bin with room
@@ -137,12 +140,11 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, steps: in
                 bins[back] = donor
                 fill[to] += change
                 fill[donor] -= change
-                steps -= 1
-                improved = True
+                improved = moved = True
                 break
         if fill[donor] == 0:
             alive -= 1
-        if steps < before:  # what other bins could not do may be possible now
+        if moved:  # what other bins could not do may be possible now
             tired[:] = False
         tired[donor] = True
     return np.unique(bins, return_inverse=True)[1] if len(bins) else bins
