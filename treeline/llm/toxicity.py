@@ -33,7 +33,7 @@ from treeline.llm.sampling import labelled_sample
 from treeline.llm.textbatch import ALNUM, Words, text_slices
 
 #: Labelled texts in the sample; hashed features; those selected; ridge.
-SAMPLE, BITS, SELECTED, RIDGE = 12_000, 22, 1_024, 0.02
+SAMPLE, BITS, SELECTED, RIDGE = 8_000, 22, 1_024, 0.02
 #: Steps of the regression, and their size.
 STEPS, RATE = 150, 0.02
 #: A feature in such a share of toxic texts, that are such a share of its own texts by a lower bound, is a sure mark: one is enough.
@@ -191,7 +191,7 @@ class ToxicityModel:
 
 def fit_arrays(rows: list[np.ndarray], y: np.ndarray, chars: CharModel) -> ToxicityModel:
     """rows: the distinct feature ids of each text; texts with the same ones count once."""
-    first = {(r.tobytes(), int(v)): i for i, (r, v) in reversed([*enumerate(zip(rows, y, strict=True))])}
+    first = {(hash(r.tobytes()), int(v)): i for i, (r, v) in reversed([*enumerate(zip(rows, y, strict=True))])}
     own = sorted(first.values())
     rows, y = [rows[i] for i in own], y[own]
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "toxic",
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(own, pa.binary())], ["doc_id", "label", "ids"])
 
     found = sampled.mapInArrow(ids, "doc_id long, label int, ids binary").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-    return fit_arrays([np.frombuffer(r, np.int32) for r in found.column("ids").to_pylist()], found.column("label").to_numpy().astype(np.int64), chars)
+    return fit_arrays([np.frombuffer(r.as_buffer(), np.int32) for r in found.column("ids")], found.column("label").to_numpy().astype(np.int64), chars)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
