@@ -205,6 +205,26 @@ def test_nearest_against_brute_force(spark, sf):
     assert odd == {(0, 5), (0, 1), (0, 100), (100, 0), (100, 1), (100, 5)}
 
 
+def recall(found, x, asked, k=10):
+    hits = 0
+    for q in asked:
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        best = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:k]
+        hits += len(set(best) & set(found[found.query_id == q].vec_id))
+    return hits / k / len(asked)
+
+
+@pytest.mark.parametrize("copies", [0, 1500])
+def test_recall_at_many_blocks_and_near_copies(spark, copies):
+    """Independent vectors in far more blocks than the windows hold, and near copies of one vector that crowd a cell of the grid."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 32)).astype(np.float32)
+    x[rng.permutation(4000)[:copies]] = x[0] + rng.normal(size=(copies, 32)).astype(np.float32) * 1e-3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = ann.nearest(df, F.col("vec_id") % 40 == 0, 10, curves=6, block=32).toPandas()
+    assert recall(found, x, range(0, 4000, 40)) >= 0.9
+
+
 def test_token_counts(spark, odd):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     enc = tokencount.encoder(path, pattern)
