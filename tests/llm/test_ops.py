@@ -263,3 +263,14 @@ def test_deobfuscation():
         assert r.text(seen) == meant
     for plain in ("the thing", "hello street", "2019", "ok!!", "a b"):
         assert r.text(plain) == plain
+
+
+def test_spaced_runs_keep_word_boundaries():
+    chars = toxicity.CharModel()
+    for w in "you are a loser what idiot i said go stupid moron the and thing this street hello".split():
+        chars.add(w, 20)
+    r = toxicity.Restorer(chars)
+    for seen, meant in (("you are a l o s e r", "you are a loser"), ("what i d i o t i said", "what idiot i said"), ("y o u i d i o t g o", "you idiot go"), ("a l 0 s 3 r", "a loser"), ('"i.d.i.o.t"', "idiot")):
+        assert r.text(seen) == meant
+    assert r.text(" ".join("youidiotgo" * 30)) == " ".join(["you idiot go"] * 30)
+    assert r.text("st" + "u" * 60 + "pid") == "stupid" and r.text("1d10t" * 20) == "idiot" * 20

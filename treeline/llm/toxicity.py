@@ -2,9 +2,11 @@
 
 A token that mixes letters with look-alike signs, drags a letter out, or is a
 letter of a spaced-out word opens a lattice: each sign offers the letters it may
-stand for, each run of one letter offers one or two of it. Viterbi decoding
+stand for, each run of one letter offers one or two of it, and between the
+letters of a spaced run a word may end and the next one begin. Viterbi decoding
 under a character trigram model, plus a cost for each way of writing, picks the
-restored word. A token without such signs has a lattice of one path and passes
+restored words, however long the run is; inside a spaced run a word is either a
+known one, at the cost of its count, or spelled by the character model. A token without such signs has a lattice of one path and passes
 as it is. A logistic regression on presence of words and word beginnings then
 scores the restored text, in a noisy-or with marks that are sure on their own.
 
@@ -19,10 +21,12 @@ stay as they are in keep().
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.sampling import labelled_sample
+from treeline.llm.session import stored
 from treeline.llm.textbatch import ALNUM, Words, text_slices
 
 #: Labelled texts in the sample; hashed features; those selected; ridge.
@@ -57,17 +62,22 @@ _DRAGGED = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(rf"(?<!\S)(?:[^\W_]|[{_SIGNS}])(?:[\s.\-_,*]{{1,2}}(?:[^\W\d_]|[{_SIGNS}])){{3,}}(?!\S)")
 _INNER = re.compile(r"[.\-_,]")
 _HIDDEN = re.compile("[​-‏⁠﻿­]")
-#: Longer tokens are not words that somebody disguised; they pass as they are.
-LONGEST = 40
+#: What a word inside a spaced run costs for not being among the known ones.
+SPELLED = 4.0
+#: Most frequent trigrams and words that the character model holds; tokens that a task counts before it hands counts on.
+GRAMS, WORDS, FLUSHED = 1 << 18, 1 << 15, 200_000
+#: Steps of a lattice after which what all paths share is settled, so that long runs take time in proportion.
+SETTLE = 64
 
 
 @dataclass
 class CharModel:
-    """Trigram costs with back-off by interpolation; '^' opens a word and '$' closes it."""
+    """Trigram costs with back-off by interpolation; '^' opens a word and '$' closes it. Known words have counts of their own."""
 
     three: Counter = field(default_factory=Counter)
     two: Counter = field(default_factory=Counter)
     one: Counter = field(default_factory=Counter)
+    words: Counter = field(default_factory=Counter)
     memo: dict = field(default_factory=dict)
 
     def add(self, word: str, n: int) -> None:
@@ -76,19 +86,33 @@ class CharModel:
             self.three[w[i - 2 : i + 1]] += n
             self.two[w[i - 2 : i]] += n
             self.one[w[i]] += n
+        self.words[word] += n
+
+    @cached_property
+    def begun(self) -> frozenset:
+        """Beginnings of known words."""
+        return frozenset(w[:i] for w in self.words for i in range(1, len(w) + 1))
+
+    @cached_property
+    def total(self) -> int:
+        return sum(self.one.values()) or 1
+
+    @cached_property
+    def said(self) -> int:
+        return sum(self.words.values())
 
     def cost(self, context: str, char: str) -> float:
         key = context + char
         if key not in self.memo:
-            total = sum(self.one.values()) or 1
-            base = (self.one[char] + 0.5) / (total + 64)
+            base = (self.one[char] + 0.5) / (self.total + 64)
             self.memo[key] = -math.log((self.three[key] + 4 * base) / (self.two[context] + 4))
         return self.memo[key]
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal signs what it may stand for, and at what cost."""
+def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+    """For each run of equal signs what it may stand for, and at what cost; a blank is a word boundary, open between all signs of a spaced run."""
     out: list[list[tuple[str, float]]] = []
+    gap = [[("", 0.0), (" ", 0.0)]] if spaced else []
     i = 0
     while i < len(token):
         j = i
@@ -98,31 +122,59 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         letters = LOOKS.get(c, c)
         way = math.log(len(letters)) if c in LOOKS else 0.0
         if run == 1 or c == "*":
-            out += [[(x, way) for x in letters]] * run
-        elif run == 2:
-            out.append([(x + x, way) for x in letters] + [(x, way + 3.5) for x in letters])
+            out += ([[(x, way) for x in letters]] + gap) * run
         else:
-            out.append([(x, way) for x in letters] + [(x + x, way + 0.5) for x in letters])
+            extra = (3.5, 0.0) if run == 2 else (0.0, 0.5)
+            own = [(x, way + extra[0]) for x in letters] + [(x + x, way + extra[1]) for x in letters]
+            if spaced:
+                own += [(f"{x * m} {x * n}", way) for x in letters for m in (1, 2) for n in (1, 2) if m + n <= run]
+            out += [own] + gap
         i = j
-    return out
-
-
-def decode(token: str, model: CharModel) -> str:
-    """The cheapest word of the token's lattice; ties go to the word first in code point order."""
-    best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    for choices in lattice(token):
+    return out[:-1] if spaced else out
+
+
+def _moves(context: str, letters: str, model: CharModel) -> Iterator[tuple[str, float]]:
+    """Where the letters lead, and what they cost. Contexts are the last two signs, or '=' and the beginning of a known word."""
+    open_ = [(context, 0.0)]
+    for x in letters:
+        after = []
+        for at, cost in open_:
+            if x == " ":
+                if (end := _closing(at, model)) is not None:
+                    after += [("^^", cost + end + SPELLED), ("=", cost + end)]
+            elif at[0] != "=":
+                after.append((at[1] + x, cost + model.cost(at, x)))
+            elif at[1:] + x in model.begun:
+                after.append((at + x, cost))
+        open_ = after
+    yield from open_
+
+
+def _closing(context: str, model: CharModel) -> float | None:
+    """What closing a word costs; None for a beginning that is no word."""
+    if context[0] != "=":
+        return model.cost(context, "$")
+    return math.log(model.said / n) if (n := model.words.get(context[1:], 0)) else None
+
+
+def decode(token: str, model: CharModel, spaced: bool = False) -> str:
+    """The cheapest words of the token's lattice; ties go to those first in code point order."""
+    best: dict[str, tuple[float, str]] = {"^^": (SPELLED, ""), "=": (0.0, "")} if spaced else {"^^": (0.0, "")}
+    settled: list[str] = []
+    for n, choices in enumerate(lattice(token, spaced), 1):
         step: dict[str, tuple[float, str]] = {}
         for context, (cost, text) in best.items():
             for letters, way in choices:
-                now, at = cost + way, context
-                for x in letters:
-                    now += model.cost(at, x)
-                    at = at[1] + x
-                found = (now, text + letters)
-                if at not in step or found < step[at]:
-                    step[at] = found
+                for at, more in _moves(context, letters, model):
+                    found = (cost + way + more, text + letters)
+                    if at not in step or found < step[at]:
+                        step[at] = found
         best = step
-    return min((cost + model.cost(context, "$"), text) for context, (cost, text) in best.items())[1]
+        if n % SETTLE == 0:
+            settled.append(os.path.commonprefix([text for _, text in best.values()]))
+            best = {context: (cost, text[len(settled[-1]) :]) for context, (cost, text) in best.items()}
+    ends = ((cost + end, text) for context, (cost, text) in best.items() if (end := _closing(context, model)) is not None)
+    return "".join(settled) + min(ends)[1]
 
 
 class Restorer:
@@ -134,10 +186,11 @@ class Restorer:
 
     def token(self, token: str) -> str:
         core = _EDGE.sub("", token)
-        if len(core) > 2 and len(core) <= LONGEST and not core.isnumeric():
+        if len(core) > 2 and not core.isnumeric():
             if "." in core or "-" in core or "_" in core or "," in core:
                 parts = _INNER.split(core)
-                core = "".join(parts) if len(parts) > 3 and all(len(p) <= 1 for p in parts) else core
+                if len(parts) > 3 and all(len(p) <= 1 for p in parts) and not (letters := "".join(parts)).isnumeric():
+                    return decode(letters, self.model, spaced=True)
             if _ODD.fullmatch(core) or (_DRAGGED.search(core) and all(c in LOOKS or c.isalpha() for c in core)):
                 return decode(core, self.model)
         return token
@@ -145,7 +198,7 @@ class Restorer:
     def text(self, text: str) -> str:
         text = _HIDDEN.sub("", text.lower()) if not text.isascii() else text.lower()
         if _SPACED.search(text):
-            text = _SPACED.sub(lambda m: decode(c, self.model) if len(c := re.sub(r"[\s.\-_,]", "", m[0])) <= LONGEST else c, text)
+            text = _SPACED.sub(lambda m: decode(re.sub(r"[\s.\-_,]", "", m[0]), self.model, spaced=True), text)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, tokens = self.known, text.split()
@@ -230,25 +283,52 @@ def fit_arrays(rows: list[np.ndarray], y: np.ndarray, chars: CharModel) -> Toxic
     return ToxicityModel(chars, column, w.astype(np.float64), bias, doubt)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Fits on about sample labelled rows of the fold, a condition on doc_id."""
-    sampled = labelled_sample(docs, labels, label, fold, sample, id_col, text_col).select("doc_id", "text", "label")
+def char_model(texts: DataFrame, text_col: str = "text") -> CharModel:
+    """Counts of all texts. The model holds the most frequent trigrams and words; its other counts are of all of them."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            found: Counter = Counter()
+            for token, n in tokens.items():
+                if (w := _EDGE.sub("", token)).isalpha() and not _DRAGGED.search(w):
+                    found[w] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+        tokens: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                tokens.update((text or "").lower().split())
+                if len(tokens) > FLUSHED:
+                    yield counted()
+                    tokens.clear()
+        yield counted()
 
     def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(1).to_pylist():
-                counts.update(w for t in (text or "").lower().split() if (w := _EDGE.sub("", t)).isalpha() and len(w) <= LONGEST and not _DRAGGED.search(w))
             own = CharModel()
-            for word, n in counts.items():
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own.add(word, n)
             yield pa.RecordBatch.from_arrays([pa.array(list(own.three), pa.string()), pa.array(list(own.three.values()), pa.int64())], ["gram", "n"])
 
+    said = stored(texts.select(F.col(text_col).alias("text")).mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    grams = stored(said.mapInArrow(trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    kept = grams.orderBy(F.desc("n"), "gram").limit(GRAMS).withColumn("context", F.substring("gram", 1, 2))
+    contexts = grams.groupBy(F.substring("gram", 1, 2).alias("context")).agg(F.sum("n").alias("of"))
     chars = CharModel()
-    for gram, n in sorted(tuple(r) for r in sampled.mapInArrow(trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n")).collect()):
-        chars.three[gram] += n
-        chars.two[gram[:2]] += n
-        chars.one[gram[2]] += n
+    for gram, n, of in sorted(tuple(r) for r in kept.join(contexts, "context").select("gram", "n", "of").collect()):
+        chars.three[gram], chars.two[gram[:2]] = n, of
+    for char, n in sorted(tuple(r) for r in grams.groupBy(F.substring("gram", 3, 1).alias("char")).agg(F.sum("n")).collect()):
+        chars.one[char] = n
+    for word, n in sorted(tuple(r) for r in said.orderBy(F.desc("n"), "word").limit(WORDS).collect()):
+        chars.words[word] = n
+    return chars
+
+
+def fit(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    """Fits on about sample labelled rows of the fold, a condition on doc_id."""
+    sampled = labelled_sample(docs, labels, label, fold, sample, id_col, text_col).select("doc_id", "text", "label")
+
+    chars = char_model(sampled)
     sent = docs.sparkSession.sparkContext.broadcast(chars)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
