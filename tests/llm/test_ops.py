@@ -274,3 +274,13 @@ def test_spaced_runs_keep_word_boundaries():
         assert r.text(seen) == meant
     assert r.text(" ".join("youidiotgo" * 30)) == " ".join(["you idiot go"] * 30)
     assert r.text("st" + "u" * 60 + "pid") == "stupid" and r.text("1d10t" * 20) == "idiot" * 20
+
+
+def test_character_model_counts_all_texts(spark):
+    """A word that only unlabelled texts hold restores a spaced one, and counts are of all texts."""
+    texts = [(i, "the zyxwvut goes") for i in range(50)] + [(100, "plain words"), (101, "other words")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(100, 1), (101, 0)], "doc_id long, toxic int")
+    chars = toxicity.fit(docs, labels, F.lit(True)).chars
+    assert chars.words["zyxwvut"] == 50 and chars.three["^^z"] == 50 and chars.two["zy"] == 50 and chars.one["z"] == 50
+    assert toxicity.Restorer(chars).text("the z y x w v u t goes") == "the zyxwvut goes"
