@@ -1,6 +1,7 @@
 """Operators on small and odd inputs, against brute force, libraries or round trips."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -284,3 +285,19 @@ def test_character_model_counts_all_texts(spark):
     chars = toxicity.fit(docs, labels, F.lit(True)).chars
     assert chars.words["zyxwvut"] == 50 and chars.three["^^z"] == 50 and chars.two["zy"] == 50 and chars.one["z"] == 50
     assert toxicity.Restorer(chars).text("the z y x w v u t goes") == "the zyxwvut goes"
+
+
+def test_local_search_ends_where_no_exchange_improves():
+    """On a group too large for a bounded search, and against all exchanges of up to two items on a small one."""
+    rng = np.random.default_rng(0)
+    x = rng.integers(300, 1101, 4000)
+    assert packing.local_search(x, packing.best_fit(x, 2048), 2048).max() + 1 <= 1390  # best fit decreasing leaves 1411
+    x = rng.integers(300, 1101, 150)
+    bins = packing.local_search(x, packing.best_fit(x, 2048), 2048)
+    fill = np.bincount(bins, weights=x).astype(int)
+    assert fill.max() <= 2048 and fill.sum() == x.sum()
+    sets = [[sum(c) for n in (1, 2) for c in itertools.combinations(x[bins == b].tolist(), n)] for b in range(len(fill))]
+    if len(fill) > -(-x.sum() // 2048):
+        for a, b in itertools.permutations(range(len(fill)), 2):
+            gains = [out - back for out in sets[a] for back in [0, *sets[b]] if out > back and fill[b] + out - back <= 2048]
+            assert not any(fill[b] + g > fill[a] for g in gains)

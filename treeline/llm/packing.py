@@ -3,9 +3,9 @@
 Documents are tokenised once; only documents longer than a sequence are cut.
 Pieces are dealt at random into groups of bounded size, so that groups pack in
 parallel, each by best fit decreasing and then by local search: the emptiest
-bin gives its documents away one for one, one for two, or outright to fuller
-bins with room, every exchange raising the sum of squared fills, until it is
-empty or nothing improves. Every piece is placed; no document is dropped.
+bin gives one or two of its documents away for one or two, or outright, to
+bins with room, every exchange raising the sum of squared fills, until no bin
+has one that does. Every piece is placed; no document is dropped.
 
 Defined results: a null text is an empty one, which is the end mark alone.
 Equal texts have equal pieces. Repeated rows are packed once each. Columns
@@ -14,7 +14,7 @@ other than the id and the text are not read.
 
 from __future__ import annotations
 
-import math
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,9 +29,7 @@ from treeline.llm.session import stored
 from treeline.llm.wordbpe import encoder
 
 #: Pieces of a group, on average. A group leaves about one sequence unfilled.
-GROUP = 16_384
-#: Exchanges that the local search looks for in a group; each costs time in proportion to the group.
-STEPS = 1_500
+GROUP = 32_768
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -85,86 +83,128 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, steps: int = STEPS) -> np.ndarray:
-    """Exchanges between underfull bins that raise the sum of squared fills; a bin emptied this way is gone.
-
-    The donor is the emptiest bin not yet given up. For each of its items
-    and pairs of items, in order of size, it takes the exchange that lowers its
-    fill most: they move out, or go for one item (a single one also for a pair)
-    of another bin whose room takes the difference. An exchange of difference d raises the sum of squares by
-    2 d (fill of the other - fill of the donor + d).
+class _Exchanges:
+    """What open bins can give back: single items and pairs of items of different or equal lengths, by the room that a bin has without them."""
+
+    def __init__(self, lengths: list[int], capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        self.heaps: list[list[tuple]] = [[] for _ in range(capacity + 1)]
+        self.least = np.full(capacity + 1, capacity + 1, np.int64)  # the shortest of each room
+        self.rooms: list[dict[int, None]] = [{} for _ in range(capacity + 1)]
+        self.open = 0  # bits of the rooms that some bin has
+        self.turn: dict[int, int] = {}
+        self.places: dict[int, tuple[int, set[int]]] = {}
+
+    def sets(self, items: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+        """(length, items) of single items and pairs, one for each choice of lengths, longest single first, then longest pair."""
+        by: dict[int, list[int]] = {}
+        for i in items:
+            by.setdefault(self.lengths[i], []).append(i)
+        sizes = sorted(by, reverse=True)
+        pairs = [(x + y, (by[x][0], by[y][0] if x != y else by[x][1])) for k, x in enumerate(sizes) for y in sizes[k:] if x != y or len(by[x]) > 1]
+        return [(x, (by[x][0],)) for x in sizes] + sorted(pairs, reverse=True)
+
+    def put(self, b: int, room: int, items: list[int]) -> None:
+        if not items or not room:
+            return
+        turn, touched = self.turn.get(b, 0), set()
+        for size, out in self.sets(items):
+            heapq.heappush(self.heaps[size + room], (size, b, turn, out))
+            touched.add(size + room)
+            self.least[size + room] = min(size, self.least[size + room])
+        self.rooms[room][b] = None
+        self.open |= 1 << room
+        self.places[b] = (room, touched)
+
+    def take(self, b: int) -> None:
+        if b not in self.places:
+            return
+        room, touched = self.places.pop(b)
+        self.turn[b] = self.turn.get(b, 0) + 1
+        del self.rooms[room][b]
+        if not self.rooms[room]:
+            self.open ^= 1 << room
+        for at in touched:
+            heap = self.heaps[at]
+            while heap and heap[0][2] != self.turn.get(heap[0][1], 0):
+                heapq.heappop(heap)
+            self.least[at] = heap[0][0] if heap else self.capacity + 1
+
+    def best(self, size: int, spare: int) -> tuple[int, tuple[int, ...]] | None:
+        """The bin that takes items of this size, and the least that it gives back, from a donor with spare room; None if nothing raises the squares."""
+        if (fits := self.open >> size) and (room := (fits & -fits).bit_length() - 1) < spare:
+            return next(iter(self.rooms[size + room])), ()
+        near = self.least[size : size + spare]
+        if len(near) and near[at := int(near.argmin())] < size:
+            _, b, _, back = self.heaps[size + at][0]
+            return b, back
+        return None
+
+
+def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Exchanges between underfull bins that raise the sum of squared fills, until none does; a bin emptied this way is gone.
+
+    The donor is the emptiest bin not yet tried in the pass. For each of its items
+    and then pairs of items, longest first, it takes the exchange that lowers its
+    fill most: they move out, or go for one item or a pair of another bin whose
+    room takes the difference. An exchange of difference d raises the sum of squares by
+    2 d (fill of the other - fill of the donor + d), so the bin's room without
+    what it gives lies from the size that goes to below that size plus the donor's
+    room. Passes end when one changes nothing, or the bins are as few as the sum of lengths allows.
     """
-    bins = bins.copy()
-    n = int(bins.max()) + 1 if len(bins) else 0
-    fill = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
-    least = math.ceil(int(lengths.sum()) / capacity) if len(lengths) else 0
-    alive = int((fill > 0).sum())
-    tired = np.zeros(n, bool)
-    while alive > least and steps > 0:
-        open_bins = np.flatnonzero((fill > 0) & (fill < capacity) & ~tired)
-        if len(open_bins) < 2:
-            break
-        donor = int(open_bins[np.argmin(fill[open_bins])])
-        improved, moved = True, False
-        while improved and fill[donor] > 0 and steps > 0:
-            improved = False
-            room = capacity - fill
-            room[donor] = 0
-            room[fill == 0] = 0
-            items = np.flatnonzero(room[bins] > 0)  # of other underfull bins
-            own_len, own_room = lengths[items], room[bins[items]]
-            own = sorted(np.flatnonzero(bins == donor).tolist(), key=lambda i: -lengths[i])
-            for out in [*([i] for i in own), *([i, j] for i, j in zip(own, own[1:], strict=False))]:
-                if steps <= 0:
+    if not len(bins):
+        return bins
+    where, size = bins.tolist(), lengths.tolist()
+    items: list[list[int]] = [[] for _ in range(max(where) + 1)]
+    for i, b in enumerate(where):
+        items[b].append(i)
+    fill = [sum(size[i] for i in own) for own in items]
+    least = -(-sum(size) // capacity)
+    alive = sum(f > 0 for f in fill)
+    if alive <= least:
+        return np.unique(bins, return_inverse=True)[1]
+    table = _Exchanges(size, capacity)
+    for b, own in enumerate(items):
+        table.put(b, capacity - fill[b], own)
+    moved = True
+    while moved and alive > least:
+        moved = False
+        tired: set[int] = set()
+        queue = [(f, b) for b, f in enumerate(fill) if 0 < f < capacity]
+        heapq.heapify(queue)
+        while queue and alive > least:
+            f, donor = heapq.heappop(queue)
+            if donor in tired or f != fill[donor]:
+                continue
+            tired.add(donor)
+            table.take(donor)
+            improved = True
+            while improved and fill[donor]:
+                improved = False
+                for total, out in table.sets(items[donor]):
+                    found = table.best(total, capacity - fill[donor])
+                    if found is None:
+                        continue
+                    to, back = found
+                    change = total - sum(size[i] for i in back)
+                    table.take(to)
+                    items[to] = [i for i in items[to] if i not in back] + list(out)
+                    items[donor] = [i for i in items[donor] if i not in out] + list(back)
+                    fill[to] += change
+                    fill[donor] -= change
+                    table.put(to, capacity - fill[to], items[to])
+                    if to not in tired and fill[to] < capacity:
+                        heapq.heappush(queue, (fill[to], to))
+                    improved = moved = True
                     break
-                steps -= 1
-                size = int(lengths[out].sum())
-                fits = np.flatnonzero((room >= size) & (fill + size > fill[donor]))
-                if len(fits):  # outright, to the fullest bin with room
-                    to, back = int(fits[np.argmin(room[fits])]), []
-                else:
-                    gain = np.where((own_len < size) & (size - own_len <= own_room) & (fill[bins[items]] + size - own_len > fill[donor]), size - own_len, 0)
-                    best = int(np.argmax(gain)) if len(gain) else -1
-                    if best >= 0 and gain[best] > 0:
-                        to, back = int(bins[items[best]]), [int(items[best])]
-                    elif len(out) == 1:
-                        to, back = _pair(lengths, bins, items, room, size)
-                    else:
-                        to, back = None, []
-                if to is None:
-                    continue
-                change = size - int(lengths[back].sum()) if back else size
-                if change <= 0 or fill[to] + change <= fill[donor]:
-                    continue
-                bins[out] = to
-                bins[back] = donor
-                fill[to] += change
-                fill[donor] -= change
-                improved = moved = True
-                break
-        if fill[donor] == 0:
-            alive -= 1
-        if moved:  # what other bins could not do may be possible now
-            tired[:] = False
-        tired[donor] = True
-    return np.unique(bins, return_inverse=True)[1] if len(bins) else bins
-
-
-def _pair(lengths: np.ndarray, bins: np.ndarray, items: np.ndarray, room: np.ndarray, size: int) -> tuple[int | None, list[int]]:
-    """The bin and two of its items that one item of this size replaces with the most gain."""
-    small = items[lengths[items] < size]
-    order = small[np.lexsort((lengths[small], bins[small]))]
-    if len(order) < 2:
-        return None, []
-    best, found = 0, (None, [])
-    for gap in (1, 2, 3):  # neighbours by size within a bin
-        a, b = order[:-gap], order[gap:]
-        both = lengths[a] + lengths[b]
-        gain = np.where((bins[a] == bins[b]) & (both < size) & (size - both <= room[bins[a]]), size - both, 0)
-        if len(gain) and gain.max() > best:
-            k = int(np.argmax(gain))
-            best, found = int(gain[k]), (int(bins[a[k]]), [int(a[k]), int(b[k])])
-    return found
+            if fill[donor]:
+                table.put(donor, capacity - fill[donor], items[donor])
+            else:
+                alive -= 1
+    out = np.empty(len(bins), np.int64)
+    for b, own in enumerate(items):
+        out[own] = b
+    return np.unique(out, return_inverse=True)[1]
 
 
 def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
