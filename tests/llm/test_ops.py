@@ -301,3 +301,20 @@ def test_local_search_ends_where_no_exchange_improves():
         for a, b in itertools.permutations(range(len(fill)), 2):
             gains = [out - back for out in sets[a] for back in [0, *sets[b]] if out > back and fill[b] + out - back <= 2048]
             assert not any(fill[b] + g > fill[a] for g in gains)
+
+
+def test_join_counts_all_links(spark, monkeypatch):
+    """Groups of different texts that all link, with copies of some."""
+    monkeypatch.setattr(ngramjoin, "FREQUENT_FROM", 5)
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(60)}" for _ in range(n)] for n in (60, 150)]
+    rows = []
+    for i in range(120):
+        words = list(base[i % 2])
+        words[rng.randrange(len(words))] = rng.choice(["X", f"new{i}"])
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, t) for i, t in rows[:9]] + [(300, ""), (301, "alone here")]
+    sets = {i: {tuple(t.lower().split()[j : j + 4]) for j in range(max(1, len(t.split()) - 3))} if t else set() for i, t in rows}
+    brute = {a: sum(a != b and bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    found = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80, count_links=True).collect()
+    assert max(brute.values()) > 20 and {r.doc_id: r.n_links for r in found} == brute

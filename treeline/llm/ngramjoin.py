@@ -222,12 +222,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, set_id, component_id, n_links.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, set_id, component_id, and n_links if count_links.
 
     component_id is the smallest doc_id that links reach, the document's own if
-    none. n_links counts the other documents of the same set and the verified
-    links to other sets that the search needed to settle components.
+    none. n_links is the number of other documents that reach the similarity,
+    equal ones among them. Components need a few links of a large group only;
+    to count links all its candidate pairs are verified, which takes time and
+    disk in proportion to the square of the group.
     """
     spark: SparkSession = docs.sparkSession
     counted = stored(shingle_sets(docs, k, False, id_col, text_col), "sets")
@@ -301,9 +303,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if 10 * found.count() < asked:
             break
 
-    # Sets that share a bucket and are still apart, pair by pair: this is exact for whatever the rounds left.
+    # Sets that share a bucket and are still apart, pair by pair: this is exact for whatever the rounds left. For the links, all that share one.
     sketches = counted.groupBy("set_id").agg(*(F.first(c).alias(c) for c in _SKETCH))
-    part = apart(label)
+    part = index.withColumn("part", F.col("set_id")) if count_links else apart(label)
     part = part.join(sketches.join(part.select("set_id").distinct(), "set_id", "left_semi"), "set_id")
     differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _SKETCH)
     close = F.expr(f"{100 + percent} * (x.n + y.n - ({differ})) >= {2 * percent} * (x.n + y.n)")
@@ -317,18 +319,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = links.unionByName(verified(stored(pairs, "pairs")))
     label = components(links)
 
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-    known = one.join(label.join(ends, "id"), F.col("set_id") == F.col("id"), "left").withColumn("part", F.coalesce("component", "set_id"))
+    known = one.join(label, F.col("set_id") == F.col("id"), "left").withColumn("part", F.coalesce("component", "set_id"))
     grouped = known.where("n > 0").groupBy("set_id", "part").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"))
     whole = grouped.groupBy("part").agg(F.min("low").alias("component_id"))
     named = grouped.select("set_id", "part", "copies").join(whole, "part").select("set_id", "copies", "component_id")
-    return known.join(named, "set_id", "left").select(
+    found = known.join(named, "set_id", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         "set_id",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        "copies",
     )
+    if not count_links:
+        return found.drop("copies")
+    sides = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = sides.join(grouped.select(F.col("set_id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("copies").alias("links"))
+    n_links = F.when(F.col("n_shingles") > 0, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long")
+    return found.join(others, "set_id", "left").select("doc_id", "n_shingles", "set_id", "component_id", n_links.alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
