@@ -318,3 +318,11 @@ def test_join_counts_all_links(spark, monkeypatch):
     brute = {a: sum(a != b and bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for b in sets) for a in sets}
     found = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80, count_links=True).collect()
     assert max(brute.values()) > 20 and {r.doc_id: r.n_links for r in found} == brute
+
+
+def test_history_gives_way_to_a_long_turn():
+    w = chat.Windows(1024, 256)
+    sizes = [20, 200, 700, 240, 900, 100, 1000, 30]
+    out = [x for i, n in enumerate(sizes) for x in w.add(chat.Turn("system" if not i else "user", str(i), n))] + [w.close()]
+    assert max(x["n_tokens"] for x in out) <= 1024 and sum(x["n_new"] for x in out) == len(sizes)
+    assert out[-1]["text"].startswith("<|im_start|>system\n")

@@ -12,8 +12,9 @@ Turns of a conversation are read as a sorted stream, so memory is bounded by a
 window however long the conversation is.
 
 Defined results: null texts and roles are empty ones. Turns go by (turn, role,
-text), nulls first; rows that repeat a turn are turns of their own. A turn that
-alone exceeds the budget has a window of its own beyond it. A null conv_id is a
+text), nulls first; rows that repeat a turn are turns of their own. History gives way
+to a window's first new turn; a turn that exceeds the budget beside the system
+turn has a window of its own beyond it. A null conv_id is a
 conversation of its own kind. Columns other than the four named are not read.
 """
 
@@ -83,6 +84,9 @@ class Windows:
     def add(self, turn: Turn) -> Iterator[dict]:
         if self.new and self.used + turn.tokens > self.budget:
             yield self.close()
+        first = 1 if self.system else 0
+        while not self.new and len(self.repeated) > first and self.used + turn.tokens > self.budget:
+            self.used -= self.repeated.pop(first).tokens
         self.new.append(turn)
         self.used += turn.tokens
         self.seen += 1
