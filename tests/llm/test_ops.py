@@ -326,3 +326,14 @@ def test_history_gives_way_to_a_long_turn():
     out = [x for i, n in enumerate(sizes) for x in w.add(chat.Turn("system" if not i else "user", str(i), n))] + [w.close()]
     assert max(x["n_tokens"] for x in out) <= 1024 and sum(x["n_new"] for x in out) == len(sizes)
     assert out[-1]["text"].startswith("<|im_start|>system\n")
+
+
+def test_rare_languages_are_learned(spark):
+    docs = spark.range(60_000).selectExpr("id as doc_id", "if(id % 20000 = 4321, 'kxq zwv jyp qqk', 'the cat sat') as text", "if(id % 20000 = 4321, 'zz', 'en') as lang")
+    model = langid.fit(docs, sample=500)
+    assert model.langs == ["en", "zz"] and model.scores(presence_of("kxq zwv jyp")).argmax() == 1
+
+
+def presence_of(text):
+    raw = text.encode()
+    return langid.presence(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))

@@ -30,6 +30,8 @@ from treeline.llm.textbatch import byte_ngrams, text_slices
 NGRAM, BITS = 4, 14
 #: The model is fitted on about so many labelled texts; landmarks are so many of them, dealt evenly over languages.
 SAMPLE, LANDMARKS, RIDGE = 2_000, 64, 1e-3
+#: Rows of each label in the sample, on average, if the label is rare.
+LEAST_ROWS = 100
 #: Scores are a softmax of the regressions' values at this sharpness.
 SHARPNESS = 8.0
 
@@ -86,9 +88,10 @@ def fit_arrays(x: np.ndarray, y: list[str], landmarks: int = LANDMARKS) -> Strin
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> StringKernelModel | None:
-    """Fits on about sample rows whose text and label are not null; None if there are none."""
+    """Fits on about sample rows whose text and label are not null, and at least about LEAST_ROWS of each label (all if it has fewer); None if there are none."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = hashed_sample(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")), "id", sample)
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = hashed_sample(rows, "id", sample, "lang", LEAST_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_slices(batches, "text", 1 << 18):

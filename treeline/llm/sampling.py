@@ -13,10 +13,17 @@ def remainder(id_col: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")) % modulus, F.lit(0))
 
 
-def hashed_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """About size rows, by a hash of the key against a threshold; all rows if there are no more."""
+def hashed_sample(rows: DataFrame, key: str, size: int, kind: str | None = None, least: int = 0) -> DataFrame:
+    """About size rows, by a hash of the key against a threshold, and least or more of each kind; all rows if there are no more."""
     n = rows.count()
-    return rows if n <= size else rows.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 20)) < int(size / n * (1 << 20)))
+    if n <= size:
+        return rows
+    taken = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 20)) < int(size / n * (1 << 20))
+    if kind is None:
+        return rows.where(taken)
+    few = rows.groupBy(F.col(kind).alias("_kind")).agg(F.count("*").alias("_n")).where(F.col("_n") * size < F.lit(least) * n)
+    more = F.pmod(F.xxhash64(key, F.lit(8)), F.lit(1 << 40)) < F.lit(least) / F.col("_n") * F.lit(1 << 40)
+    return rows.join(F.broadcast(few), F.col(kind) == F.col("_kind"), "left").where(taken | more).select(*rows.columns)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
