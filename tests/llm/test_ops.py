@@ -71,11 +71,14 @@ def brute_components(rows, k, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
-def test_join_against_brute_force(spark, monkeypatch, k, percent):
-    """Near copies of a few texts, with frequent shingles counted as such from five documents on, so that pairs are indexed too."""
+@pytest.mark.parametrize("k,percent,most,affordable", [(4, 85, 1 << 20, 64), (5, 80, 1 << 20, 0), (4, 80, 3, 0)])
+def test_join_against_brute_force(spark, monkeypatch, k, percent, most, affordable):
+    """Near copies of a few texts, with frequent shingles counted as such from five documents on, so that pairs are indexed too; and with more of them than go into one list, with all rounds of pivots."""
     monkeypatch.setattr(ngramjoin, "FREQUENT_FROM", 5)
     monkeypatch.setattr(ngramjoin, "MANY", 3)
+    monkeypatch.setattr(ngramjoin, "FREQUENT_MOST", most)
+    monkeypatch.setattr(ngramjoin, "AFFORDED", affordable)
+    monkeypatch.setattr(ngramjoin, "REMEMBERED", 7)
     rng = random.Random(k)
     base = [[f"w{rng.randrange(40)}" for _ in range(n)] for n in (6, 12, 40, 90, 200)]
     rows = []
@@ -90,15 +93,20 @@ def test_join_against_brute_force(spark, monkeypatch, k, percent):
     assert found == brute_components(rows, k, percent)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [2, 11, 1000])
+def test_components(spark, at_once):
+    """Links in one task and in many, a long chain among them."""
     edges = [(i, i + 1) for i in range(1, 40)] + [(50, 51), (51, 50), (60, 60), (None, 3)]
-    found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    random.Random(at_once).shuffle(edges)
+    found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9), at_once).df.collect()}
     assert found == {**{i: 1 for i in range(1, 41)}, 50: 50, 51: 50}
+    assert components(spark.createDataFrame([], "a long, b long"), at_once).df.count() == 0
 
 
 def test_one_of_each_keeps_rows_and_columns(spark, odd):
-    kept = ngramjoin.one_of_each(odd.withColumn("TOKENS", F.lit(1)))
-    assert kept.columns == [*odd.columns, "TOKENS"]
+    more = ("TOKENS", "_gone", "gone", "component_id", "set_id")
+    kept = ngramjoin.one_of_each(odd.withColumns({c: F.lit(1) for c in more}))
+    assert kept.columns == [*odd.columns, *more]
     ids = [r.doc_id for r in kept.collect()]
     assert None in ids and 8 in ids and 9 not in ids and 10 not in ids and {0, 1, 2} <= set(ids)
 

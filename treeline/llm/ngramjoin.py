@@ -9,11 +9,13 @@ signature: otherwise each class with n prefix shingles would hold n (rare) or
 n - 1 (frequent) of them that the other set lacks, more in all than the
 similarity lets a set lack. What the index proposes is verified on whole sets.
 
-Equal sets share one set id and are indexed and verified once. Groups of near
-copies are verified against one pivot per set first, then in large buckets
-against a few random members; only sets that are still in different components
-are paired inside a bucket after that, all of them. So a group of thousands
-costs some tens of thousands of comparisons, not millions.
+Equal sets share one set id and are indexed and verified once. Sets are verified
+against one pivot of their buckets first. If the sets that are then still apart
+inside buckets make more pairs than a bound for each posting, shares of the
+buckets get pivots of their own, in rounds. Only sets that are still in different
+components are paired inside a bucket after that, all of them that sizes,
+matched shingles and sketches let link. So a group of thousands costs some tens
+of thousands of comparisons, not millions. Sets and shingles go by 64-bit hashes.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing. A document of fewer words than a shingle has its whole
@@ -25,32 +27,36 @@ id and the text are not read, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from treeline.llm.components import components
+from treeline.llm.sampling import columns
 from treeline.llm.session import Stored, small_side, stored
 from treeline.llm.textbatch import Words, mix64, shingles, text_slices
 
-#: A shingle is frequent from so many documents on; more where the list would outgrow FREQUENT_MOST.
+#: A shingle is frequent from so many documents on.
 FREQUENT_FROM = 50
 #: Shingles that one task counts, on average.
 COUNTED_AT_ONCE = 1_000_000
-#: The list of frequent shingles that each task gets has so many at most (8 bytes each), by choice of the threshold.
+#: Frequent shingles (8 bytes each) that each task gets as one list at most; more are joined to the documents.
 FREQUENT_MOST = 1 << 20
+#: Set ids that a task remembers, so as to index copies once; forgotten all at once, which changes no result.
+REMEMBERED = 1 << 19
 #: Prefixes go on for so many rare shingles, if there are more: what two sets share of them prunes candidates by counting.
 SHARED = 16
 #: Frequent shingles pair up within one of so many classes in sets of over SMALL_SET elements, in a single class below.
 SUBCLASSES = 16
 SMALL_SET = 128
-#: Rounds of random partners in buckets of more components than MANY (as long as a tenth of the partners link), and partners
-#: of a set in a round. All that is left is paired exactly.
-ROUNDS, MANY, PARTNERS = 6, 16, 8
+#: Rounds of pivots at most, sets of a share of a bucket that one pivot stands for from the second round on, and pivots of a set in a round.
+#: Rounds end once what is left costs AFFORDED pairs a posting at most, or under a tenth of the pivots link. All that is left is paired exactly.
+ROUNDS, MANY, PARTNERS, AFFORDED = 6, 16, 8, 64
 
 
 def missing(n: int, percent: int) -> int:
@@ -130,12 +136,11 @@ def shingle_sets(docs: DataFrame, k: int, with_tokens: bool, id_col: str = "doc_
     return _texts(docs, id_col, text_col).mapInArrow(run, T.StructType([*_SETS.fields, *more]))
 
 
-def _frequent(docs: DataFrame, k: int, total: int, id_col: str, text_col: str) -> np.ndarray:
-    """Sorted hashes of frequent shingles of all documents.
+def _frequent(docs: DataFrame, k: int, total: int, id_col: str, text_col: str) -> DataFrame:
+    """t: hashes of frequent shingles of all documents.
 
-    FREQUENT_MOST at most whatever the input: that many need as many times the
-    threshold occurrences. Each task sorts its shingles and deals them by ranges
-    of hashes, so that a range of bounded size is counted in one sort.
+    Each task sorts its shingles and deals them by ranges of hashes, so that a
+    range of bounded size is counted in one sort.
     """
     ranges = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // COUNTED_AT_ONCE))
     bounds = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
@@ -172,43 +177,85 @@ def _frequent(docs: DataFrame, k: int, total: int, id_col: str, text_col: str) -
         at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         df = np.add.reduceat(df, at)
         often = df >= FREQUENT_FROM
-        return pa.table({"t": own[at][often].view(np.int64), "df": df[often]})
+        return pa.table({"t": own[at][often].view(np.int64)})
 
-    counts = _texts(docs, id_col, text_col).mapInArrow(deal, "r int, t binary, c binary").groupBy("r").applyInArrow(count, "t long, df long")
-    table = Stored(counts, "frequent")
-    n, occurrences = table.df.agg(F.count("*"), F.sum("df")).first()
-    least = FREQUENT_FROM
-    if n > FREQUENT_MOST:
-        least = max(least, -(-occurrences // FREQUENT_MOST))
-    found = table.df.where(F.col("df") >= least).select("t").toArrow().column("t").to_numpy().astype(np.int64)
-    table.drop()
-    return np.sort(found.view(np.uint64))
+    return _texts(docs, id_col, text_col).mapInArrow(deal, "r int, t binary, c binary").groupBy("r").applyInArrow(count, "t long")
 
 
-def _postings(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """sig, set_id, n (set size), m (rare shingles indexed), rare (whether sig is one): the index."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+class Hot:
+    """Frequent shingles as each task gets them: all, sorted, if they are FREQUENT_MOST at most; else joined to the documents that hold them.
+
+    Either way the same shingles are frequent, those of FREQUENT_FROM documents or more.
+    """
+
+    def __init__(self, docs: DataFrame, k: int, total: int, id_col: str, text_col: str):
+        self.table = Stored(_frequent(docs, k, total, id_col, text_col), "frequent")
+        self.sent, self.lists = None, None
+        if self.table.df.count() <= FREQUENT_MOST:
+            found = self.table.df.toArrow().column("t").to_numpy().astype(np.int64)
+            self.sent = docs.sparkSession.sparkContext.broadcast(np.sort(found.view(np.uint64)))
+        else:
+            held = shingle_sets(docs, k, True, id_col, text_col).select("doc_id", F.explode("tokens").alias("t"))
+            self.lists = held.join(self.table.df, "t").groupBy("doc_id").agg(F.collect_set("t").alias("hot"))
+
+    def drop(self) -> None:
+        self.table.drop()
+        if self.sent is not None:
+            self.sent.unpersist()
+
+
+def _postings(docs: DataFrame, k: int, percent: int, hot: Hot, id_col: str, text_col: str) -> DataFrame:
+    """sig, set_id, n (set size), m (rare shingles indexed), rare (whether sig is one): the index. A task emits a set that it remembers once."""
+    sent = hot.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
+        seen: set[int] = set()
         for rows, data, offsets in text_slices(batches, "text"):
+            own = rows.column(2) if sent is None else None
             sigs, ids, sizes, counts, kinds = [], [], [], [], []
-            for s in shingles(Words(data, offsets), rows.num_rows, k):
+            for i, s in enumerate(shingles(Words(data, offsets), rows.num_rows, k)):
                 if len(s) > 1 and missing(len(s) + missing(len(s), percent) + 1, percent) > 0:
+                    set_id = _set_id(s)
+                    if set_id in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(set_id)
+                    often = sent.value if own is None else np.sort(np.array(own[i].as_py() or [], np.int64).view(np.uint64))
                     rare, pairs = signatures(s, often, percent)
                     n = len(rare) + len(pairs)
                     sigs += [rare, pairs]
-                    ids.append(np.full(n, _set_id(s), np.int64))
+                    ids.append(np.full(n, set_id, np.int64))
                     sizes.append(np.full(n, len(s), np.int32))
                     counts.append(np.full(n, len(rare), np.int32))
                     kinds.append(np.arange(n) < len(rare))
             if sigs:
                 columns = [np.concatenate(x) for x in (sigs, ids, sizes, counts, kinds)]
                 for i in range(0, len(columns[0]), 1 << 18):
-                    own = [c[i : i + (1 << 18)] for c in columns]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[0].view(np.int64)), *map(pa.array, own[1:])], ["sig", "set_id", "n", "m", "rare"])
+                    own_rows = [c[i : i + (1 << 18)] for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(own_rows[0].view(np.int64)), *map(pa.array, own_rows[1:])], ["sig", "set_id", "n", "m", "rare"])
+
+    texts = _texts(docs, id_col, text_col)
+    if sent is None:
+        texts = texts.join(hot.lists, "doc_id", "left")
+    return texts.mapInArrow(run, "sig long, set_id long, n int, m int, rare boolean")
+
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "sig long, set_id long, n int, m int, rare boolean")
+def _index(docs: DataFrame, k: int, percent: int, hot: Hot, id_col: str, text_col: str) -> DataFrame:
+    """sig, set_id, n, m, rare, most: the postings that may link their set with another one.
+
+    A rare shingle stands in fewer than FREQUENT_FROM documents, so its rows go to one task
+    and those without a partner go. Rows of pairs are dealt by their set as well, however
+    many sets have the pair. Rare shingles that no other set has are none of an
+    overlap, so `most` bounds it; sets that even so cannot link are left out.
+    """
+    posted = _postings(docs, k, percent, hot, id_col, text_col).withColumn("salt", F.when(F.col("rare"), F.lit(0).cast("long")).otherwise(F.col("set_id")))
+    bucket = Window.partitionBy("sig", "salt")
+    shared = posted.withColumns({"low": F.min("set_id").over(bucket), "high": F.max("set_id").over(bucket)}).where("not rare or low < high")
+    shared = shared.dropDuplicates(["sig", "salt", "set_id"]).drop("salt", "low", "high")
+    matched = F.sum(F.col("rare").cast("int")).over(Window.partitionBy("set_id"))  # a set has no more rows than elements
+    most = (F.col("n") - F.col("m") + matched).cast("int")
+    return shared.withColumn("most", most).where(f"{100 + percent} * most >= {percent} * (n + ceil({percent} * n / 100))")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -231,22 +278,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     to count links all its candidate pairs are verified, which takes time and
     disk in proportion to the square of the group.
     """
-    spark: SparkSession = docs.sparkSession
-    counted = stored(shingle_sets(docs, k, False, id_col, text_col), "sets")
-    frequent = _frequent(docs, k, counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], id_col, text_col)
-
-    one = counted.groupBy("doc_id").agg(F.min(F.struct("set_id", "n")).alias("s")).select("doc_id", "s.set_id", "s.n")
-    by_sig = Window.partitionBy("sig")
-    index = _postings(docs, k, percent, frequent, id_col, text_col)
-    index = index.withColumns({"low": F.min("set_id").over(by_sig), "high": F.max("set_id").over(by_sig)}).where("low < high").drop("low", "high")
-    index = Stored(index.dropDuplicates(["sig", "set_id"]), "shared")
-    # Rare shingles that no other set has are none of an overlap: `most` bounds it. Sets that even so cannot link are left out.
-    sizes = index.df.groupBy("set_id").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum(F.col("rare").cast("int")).alias("s"))
-    sizes = sizes.select("set_id", "n", "m", (F.col("n") - F.col("m") + F.col("s")).cast("int").alias("most"))
-    sizes = sizes.where(f"{100 + percent} * most >= {percent} * (n + ceil({percent} * n / 100))")
-    table = Stored(index.df.select("sig", "set_id", "rare").join(sizes, "set_id"), "index")
-    index.drop()
-    index = table.df
+    known = Stored(shingle_sets(docs, k, False, id_col, text_col).groupBy("doc_id").agg(F.min(F.struct("set_id", "n", *_SKETCH)).alias("s")).select("doc_id", "s.*"), "sets")
+    classes = known.df.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in _SKETCH))
+    classes = Stored(classes, "classes")
+    hot = Hot(docs, k, known.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], id_col, text_col)
+    held = Stored(_index(docs, k, percent, hot, id_col, text_col), "index")
+    hot.drop()
+    index = held.df
+    total = index.count()
 
     def can(x: str, y: str) -> str:
         """Whether sets of such sizes and bounds may reach the similarity."""
@@ -256,90 +295,101 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         """Of the set whose indexed beginning ends first, all that the other one has no match for is lacking: c of them match."""
         return f"{100 + percent} * (c + greatest({x}n - {x}m, {y}n - {y}m)) >= {percent} * ({x}n + {y}n)"
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of set ids those whose whole sets reach the similarity; only sets that stand in a pair are built."""
-        ends = stored(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct(), "ends")
-        first = stored(one.join(small_side(ends), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first")
-        keep = _texts(docs, id_col, text_col).join(small_side(first), "doc_id", "left_semi")
-        sets = shingle_sets(keep, k, True).dropDuplicates(["set_id"]).select("set_id", "tokens")
-        return stored(_verified(pairs, sets, percent), "links")
-
-    # Each set against one pivot, the smallest set id of most of its buckets that may link.
-    sides = index.select(F.col("set_id").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("most").alias("amost")).distinct()
-    star = index.withColumn("a", F.min("set_id").over(by_sig)).where("a < set_id").groupBy("set_id", "n", "m", "most", "a").agg(F.sum(F.col("rare").cast("int")).alias("c"))
-    star = star.join(sides, "a").where(can("", "a")).where(enough("", "a")).groupBy(F.col("set_id").alias("b")).agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    tried = stored(star, "tried")
-    links = verified(tried)
-    label = components(links)
-
-    def apart(label: DataFrame) -> DataFrame:
-        """The index without the buckets whose sets are all in one component."""
-        part = index.join(label, index.set_id == label.id, "left").select(*index.columns, F.coalesce("component", "set_id").alias("part"))
-        return part.withColumns({"low": F.min("part").over(by_sig), "high": F.max("part").over(by_sig)}).where("low < high").drop("low", "high")
-
-    def likely(part: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those that share enough signatures."""
-        x = part.select("sig", "rare", F.col("set_id").alias("a"), F.col("n").alias("xn"), F.col("m").alias("xm"))
-        y = part.select("sig", F.col("set_id").alias("b"), F.col("n").alias("yn"), F.col("m").alias("ym"))
-        found = pairs.join(x, "a").join(y, ["b", "sig"]).groupBy("a", "b", "xn", "xm", "yn", "ym").agg(F.sum(F.col("rare").cast("int")).alias("c"))
-        return found.where(enough("x", "y")).select("a", "b")
-
-    # In buckets of many components, each set against random others: a few rounds join large groups whose members are not all alike.
+    def close(x: str, y: str) -> str:
+        """Sketches differ in no more bits than elements may."""
+        differ = " + ".join(f"bit_count({x}{c} ^ {y}{c})" for c in _SKETCH)
+        return f"{100 + percent} * ({x}n + {y}n - ({differ})) >= {2 * percent} * ({x}n + {y}n)"
+
+    def verified(pairs: DataFrame) -> Stored:
+        """Of pairs (a, b) of set ids those whose whole sets reach the similarity; only sets that stand in a pair are built, from one document each."""
+        ends = Stored(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes.df, "set_id").select(F.col("low").alias("doc_id")), "ends")
+        keep = _texts(docs, id_col, text_col).join(small_side(ends.df), "doc_id", "left_semi")
+        sets = shingle_sets(keep, k, True).select("set_id", "tokens").dropDuplicates(["set_id"])
+        links = Stored(_verified(pairs, sets, percent), "links")
+        ends.drop()
+        return links
+
+    def pivots(part: DataFrame, turn: int) -> DataFrame:
+        """(a, b): each set b of a bucket with a set a of another part, the first of its share of the bucket; of those of a set the PARTNERS that share most.
+
+        In the first turn a bucket is one share, later shares of about MANY sets are dealt anew in each turn.
+        """
+        share = F.lit(0).cast("long") if turn == 0 else F.pmod(F.xxhash64("set_id", F.lit(turn)), F.greatest(F.lit(1).cast("long"), F.col("members") / F.lit(MANY)).cast("long"))
+        dealt = part.withColumn("share", share)
+        first = dealt.groupBy("sig", "share").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(turn)).alias("order"), "set_id", "n", "m", "most", "part")).alias("p"))
+        pairs = dealt.join(first, ["sig", "share"]).where("part <> p.part").where(can("", "p."))
+        pairs = pairs.groupBy(F.col("p.set_id").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("c"))
+        if turn == 0:
+            return pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        ranked = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))  # a set has a partner for each of its signatures at most
+        return pairs.withColumn("rn", ranked).where(f"rn <= {PARTNERS}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def mixed(label: DataFrame) -> Stored:
+        """The index with parts, without buckets whose sets are all in one; members and cost (pairs of different parts) of the bucket."""
+        part = index.join(small_side(label), index.set_id == label.id, "left").select(*index.columns, F.coalesce("component", "set_id").alias("part"))
+        by_part = part.groupBy("sig", "part").agg(F.count("*").alias("c"))
+        buckets = by_part.groupBy("sig").agg(F.sum("c").alias("members"), F.count("*").alias("parts"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+        buckets = buckets.where("parts > 1").select("sig", "members", ((F.col("members") * F.col("members") - F.col("squares")) / 2 / F.col("members")).alias("cost"))
+        return Stored(part.join(buckets, "sig"), "mixed")
+
+    links: list[Stored] = []
+    label: Stored | None = None
+    tried = None
+    part = index.withColumn("part", F.col("set_id"))
     for turn in range(ROUNDS):
-        part = stored(apart(label), "apart")
-        large = part.groupBy("sig").agg(F.countDistinct("part").alias("parts")).where(f"parts > {MANY}").select("sig")
-        ring = Window.partitionBy("sig").orderBy(F.xxhash64("set_id", F.lit(turn)))
-        other = F.lead(F.struct("set_id", "n", "most", "part")).over(ring)
-        near = part.join(large, "sig").withColumn("o", other).where("o is not null and part <> o.part").where(can("", "o."))
-        near = near.select(F.least("set_id", "o.set_id").alias("a"), F.greatest("set_id", "o.set_id").alias("b")).distinct()
-        first = Window.partitionBy("a").orderBy(F.xxhash64("b", F.lit(turn)))
-        near = likely(part, near).withColumn("rn", F.row_number().over(first)).where(f"rn <= {PARTNERS}").select("a", "b").join(tried, ["a", "b"], "left_anti")
-        near = stored(near, "near")
-        if (asked := near.count()) == 0:
+        if count_links:
             break
-        found = verified(near)
-        tried, links = tried.unionByName(near), links.unionByName(found)
-        label = components(links)
-        if 10 * found.count() < asked:
+        asked = pivots(part, turn)
+        asked = Stored(asked if tried is None else asked.join(tried, ["a", "b"], "left_anti"), "tried")
+        tried = asked.df if tried is None else tried.unionByName(asked.df)
+        links.append(verified(asked.df))
+        made, found = asked.df.count(), links[-1].df.count()
+        if label is not None:
+            label.drop()
+        label = components(reduce(DataFrame.unionByName, [x.df for x in links]))
+        apart = mixed(label.df)
+        if turn:
+            own.drop()
+        own, part = apart, apart.df
+        cost = part.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
+        if cost <= AFFORDED * total or 10 * found < made:
             break
 
-    # Sets that share a bucket and are still apart, pair by pair: this is exact for whatever the rounds left. For the links, all that share one.
-    sketches = counted.groupBy("set_id").agg(*(F.first(c).alias(c) for c in _SKETCH))
-    part = index.withColumn("part", F.col("set_id")) if count_links else apart(label)
-    part = part.join(sketches.join(part.select("set_id").distinct(), "set_id", "left_semi"), "set_id")
-    differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _SKETCH)
-    close = F.expr(f"{100 + percent} * (x.n + y.n - ({differ})) >= {2 * percent} * (x.n + y.n)")
+    # Sets that share a bucket and are still apart, pair by pair: this is exact for whatever the pivots left. For the links, all that share one.
+    part = part.join(classes.df.select("set_id", *_SKETCH), "set_id")
     x, y = part.alias("x"), part.alias("y")
     pairs = (
-        x.join(y, F.expr("x.sig = y.sig and x.set_id < y.set_id and x.part <> y.part") & F.expr(can("x.", "y.")) & close)
+        x.join(y, F.expr(f"x.sig = y.sig and x.set_id < y.set_id and x.part <> y.part and {can('x.', 'y.')} and {close('x.', 'y.')}"))
         .selectExpr("x.set_id as a", "y.set_id as b", "x.n as xn", "x.m as xm", "y.n as yn", "y.m as ym", "x.rare")
         .groupBy("a", "b", "xn", "xm", "yn", "ym").agg(F.sum(F.col("rare").cast("int")).alias("c"))
-        .where(enough("x", "y")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        .where(enough("x", "y")).select("a", "b")
     )
-    links = links.unionByName(verified(stored(pairs, "pairs")))
-    label = components(links)
+    pairs = Stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links.append(verified(pairs.df))
+    linked = reduce(DataFrame.unionByName, [x.df for x in links])
+    last = components(linked)
 
-    known = one.join(label, F.col("set_id") == F.col("id"), "left").withColumn("part", F.coalesce("component", "set_id"))
-    grouped = known.where("n > 0").groupBy("set_id", "part").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"))
+    grouped = classes.df.join(small_side(last.df), classes.df.set_id == last.df.id, "left").select("set_id", "low", "copies", F.coalesce("component", "set_id").alias("part"))
     whole = grouped.groupBy("part").agg(F.min("low").alias("component_id"))
-    named = grouped.select("set_id", "part", "copies").join(whole, "part").select("set_id", "copies", "component_id")
-    found = known.join(named, "set_id", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        "set_id",
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        "copies",
+    named = grouped.join(whole, "part").select("set_id", "copies", "component_id")
+    n_links = F.lit(0).cast("long")
+    if count_links:
+        sides = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = sides.join(classes.df.select(F.col("set_id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("copies").alias("links"))
+        named = named.join(others, "set_id", "left")
+        n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
+    found = known.df.join(named, "set_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("component_id", "doc_id").alias("component_id"), n_links.alias("n_links")
     )
-    if not count_links:
-        return found.drop("copies")
-    sides = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = sides.join(grouped.select(F.col("set_id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("copies").alias("links"))
-    n_links = F.when(F.col("n_shingles") > 0, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long")
-    return found.join(others, "set_id", "left").select("doc_id", "n_shingles", "set_id", "component_id", n_links.alias("n_links"))
+    result = stored(found if count_links else found.drop("n_links"), "near")
+    for table in (known, classes, held, pairs, last, *links, *([label, own] if label is not None else [])):
+        table.drop()
+    return result
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those whose component has a smaller doc_id; all columns stay, rows with a null id too."""
     found = near_duplicates(docs, k, percent, id_col, text_col)
-    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(small_side(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    name = columns(["gone"], docs.columns)["gone"]
+    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)), "gone")
+    return docs.join(small_side(gone), docs[id_col].cast("long") == gone[name], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of this machine where none is named, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, one of this machine if all of Spark runs in one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         own = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
         if not own:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="treeline-"))
             own = spark.sparkContext.getCheckpointDir()
         named = own
