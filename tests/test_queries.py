@@ -45,3 +45,27 @@ def test_stream_and_table_windows_agree(spark, tmp_path):
     q.stop()
     table = logtail.windowed(spark.read.parquet(str(tmp_path / "in")), "ts", "kind", "value")
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_log_tail_waits_for_complete_lines(spark, tmp_path):
+    """Appended lines come once, also after a restart; half a line waits; a malformed one fails."""
+    from treeline.streaming import logtail
+
+    folder, log = str(tmp_path / "logs"), tmp_path / "logs" / "w1" / "calls.jsonl"
+    log.parent.mkdir(parents=True)
+    log.write_text('{"call": 1}\n{"ca')
+
+    def run(name):
+        q = logtail.tail_calls(spark, folder, "call long").writeStream.option("checkpointLocation", str(tmp_path / "ckpt")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(r.call for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run("a") == [1]
+    with log.open("a") as f:
+        f.write('ll": 2}\n{"call": 3}\n')
+    assert run("b") == [1, 2, 3]
+    assert sorted(r.call for r in logtail.read_calls(spark, folder, "call long").collect()) == [1, 2, 3]
+    with log.open("a") as f:
+        f.write("\n")
+    with pytest.raises(Exception, match="malformed"):
+        logtail.read_calls(spark, folder, "call long").count()

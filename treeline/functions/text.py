@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -145,31 +146,90 @@ def destination(url: Column) -> Column:
     return F.when(F.lower(url).rlike("^https?://"), F.substring(F.concat(host(url), url_path(url)), 1, 96)).otherwise(F.concat(F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(":")))
 
 
+#: What stands in the place of text that must not leave, and patterns of secrets, credentials, local paths, e-mail addresses and URLs.
+OMITTED = "[omitted]"
+SECRETS = {
+    "private key": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----",
+    "Google API key": r"AIza[0-9A-Za-z_-]{30,}",
+    "Google OAuth access token": r"ya29\.[0-9A-Za-z._~-]{20,}",
+    "GitHub token": r"(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{40,})",
+    "provider API key": r"\bsk-(?:proj-|ant-)?[A-Za-z0-9_-]{28,}",
+    "AWS access key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
+    "JWT": r"\beyJ[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{12,}",
+    "credential-bearing URL": r"[?&](?:access_token|refresh_token|api_key|X-Amz-Signature|X-Goog-Signature)=[A-Za-z0-9%._~-]{20,}",
+    "literal authorization header": r"[Bb]earer [A-Za-z0-9._~-]{24,}",
+}
+CREDENTIAL = r"(?i)(?:password|passwd|secret|(?:access|refresh|session|auth)[_-]?token|api[_-]?key|cookie|authorization)\s*[=:]\s*\S+"
+LOCAL_PATH = r"(?:/(?:Users|home|private|tmp|var|opt)/[^\s<>\"']+|[A-Za-z]:\\[^\s]+)"
+EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+URL = r"(?i)(?:https?://|file://|(?:localhost|127\.0\.0\.1)(?::\d+)?/)[^\s<>\"']+"
+TOKEN_WORD = r"(?i)(token|session|secret|password|api[_-]?key)"
+
+
 def safe_url(url: Column, hosts: list[str]) -> Column:
-    """https, an allowed host, and no user, port, query, fragment or token-like path."""
-    plain = url.rlike(r"^https://[A-Za-z][A-Za-z0-9.\-]*(/[^?#@:]*)?$") & ~host(url).rlike(r"^[0-9.]+$")
-    return plain & host(url).isin(hosts) & ~url_path(url).rlike(r"[A-Za-z0-9_\-]{32,}")
+    """The https URL of an allowed host without its fragment, or a fragment alone; empty for all else.
+
+    Users, ports other than 443, addresses in place of hosts, queries, and paths
+    that speak of tokens, sessions, secrets, passwords or keys make a URL unsafe.
+    """
+    authority = F.regexp_extract(url, r"^(?i:https)://([^/?#]*)", 1)
+    name = F.lower(F.regexp_extract(authority, r"^([^:@]*)(?::(?:443)?)?$", 1))
+    path, query = F.regexp_extract(url, r"^(?i:https)://[^/?#]*([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    good = (name != "") & name.isin(hosts) & ~name.rlike(r"^[0-9.]+$") & (query == "") & ~path.rlike(TOKEN_WORD)
+    return F.when(url.rlike("^#[A-Za-z0-9_-]+$"), url).when(good, F.concat(F.lit("https://"), name, path)).otherwise(F.lit(""))
 
 
-#: Patterns of what must not leave: the order is that in which they are replaced.
-PRIVATE = [
-    ("credential", r"(?i)\b(api[_-]?key|secret|token|password|passwd)\b\s*[:=]\s*[^\s,;]+", "$1=[redacted]"),
-    ("path", r"(?:/home/|/Users/|[A-Z]:\\\\Users\\\\)[^\s,;]+", "[path]"),
-    ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "[email]"),
-    ("url", r"https?://[^\s<>]+", "[url]"),
-]
+def has_secret(text: Column) -> Column:
+    """Whether a text holds a secret, or assigns a credential."""
+    found = text.rlike(CREDENTIAL)
+    for pattern in SECRETS.values():
+        found = found | text.rlike(pattern)
+    return found
 
 
-def sanitise(text: Column) -> Column:
-    """Replaces credentials, local paths, e-mail addresses and URLs, in that order; doing it twice changes nothing more."""
-    for _, pattern, by in PRIVATE:
-        text = F.regexp_replace(text, pattern, by)
-    return text
+def safe_text(text: Column, hosts: list[str]) -> Column:
+    """Text that may leave: all of it is omitted if it holds a secret; else local paths and addresses go, then URLs that are not safe. Doing it twice changes nothing more."""
+    clean = F.regexp_replace(F.regexp_replace(text, LOCAL_PATH, OMITTED), EMAIL, OMITTED)
+    urls = F.transform(F.regexp_extract_all(clean, F.lit(URL), F.lit(0)), lambda u: F.coalesce(F.nullif(safe_url(u, hosts), F.lit("")), F.lit(OMITTED)))
+    between = F.split(clean, URL, -1)
+    joined = F.concat_ws("", F.flatten(F.zip_with(between, F.concat(urls, F.array(F.lit(""))), lambda t, u: F.array(t, u))))
+    return F.when(has_secret(text), F.lit(OMITTED)).when(clean.rlike(URL), joined).otherwise(clean)
 
 
 def private_counts(text: Column) -> dict[str, Column]:
     """How often each kind of private text occurs."""
-    return {f"n_{name}": F.regexp_count(text, F.lit(pattern)) for name, pattern, _ in PRIVATE}
+    return {f"n_{n}": F.regexp_count(text, F.lit(p)) for n, p in (("credential", CREDENTIAL), ("path", LOCAL_PATH), ("email", EMAIL), ("url", URL))}
+
+
+def masked_session(url: Column) -> Column:
+    """A URL without the key of its session."""
+    return F.regexp_replace(url, r"/key/[^/?#]+", "/key/SESSION")
+
+
+def cache_key(*parts: Column) -> Column:
+    """Hash that a cached result goes by."""
+    return F.sha2(F.concat_ws(":", F.lit("v1"), *parts), 256)
+
+
+def narration(*parts: Column) -> Column:
+    """Sentences of the parts that are not blank."""
+    return F.concat_ws(". ", *(F.when(F.trim(p) != "", F.trim(p)) for p in parts))
+
+
+def generation_cap(prompt_tokens: Column, completion_tokens: Column, max_length: int, max_new: int) -> Column:
+    """Tokens that may be generated; null if the wanted answer does not fit."""
+    cap = F.least(F.lit(max_new), F.lit(max_length) - prompt_tokens)
+    return F.when(cap >= completion_tokens, cap)
+
+
+def stop_reason(last_is_end: Column, tokens: Column, cap: Column, elapsed: Column, seconds: float) -> Column:
+    return F.when(last_is_end, "eos").when(tokens >= cap, "token_limit").when(elapsed >= seconds, "time_limit").otherwise("other")
+
+
+def strict_label(text: Column) -> Column:
+    """A label of 1 to 100 characters with white space collapsed; null for others."""
+    label = collapse(text)
+    return F.when(F.length(label).between(1, 100), label)
 
 
 def fits(size: Column, tokens: Column | None, max_bytes: int, max_tokens: int | None = None, reserve: int = 0) -> Column:
@@ -188,6 +248,26 @@ def backoff(attempt: Column, retry_after: Column) -> Column:
     return F.least(F.lit(60.0), F.greatest(F.lit(15.0) * F.pow(F.lit(2.0), attempt), F.coalesce(retry_after, F.lit(0.0))))
 
 
-def template_signature(tokens: list[str]) -> str:
-    """A hash of a document's structural tokens in order."""
-    return hashlib.sha256("\n".join(tokens).encode()).hexdigest()
+@F.pandas_udf(T.StringType())
+def template_signature(pages: pd.Series) -> pd.Series:
+    """Hash of a page's start and end tags in source order, with class, role and type of each: not of its text."""
+    return pages.map(lambda html: hashlib.sha256(canonical(tag_stream(html or "")).encode()).hexdigest())
+
+
+class _Tags(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[list] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        given = dict(attrs)
+        self.found.append(["start", tag, [[k, given[k]] for k in ("class", "role", "type") if k in given]])
+
+    def handle_endtag(self, tag: str) -> None:
+        self.found.append(["end", tag])
+
+
+def tag_stream(html: str) -> list[list]:
+    tags = _Tags()
+    tags.feed(html)
+    return tags.found

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treeline.operators.perdoc import by_document
+
 
 def outline_findings(lines: DataFrame, valid: DataFrame | None = None) -> DataFrame:
     """(doc_id, line, level, finding) for outline lines (doc_id, line, depth, label, refs).
 
-    Errors: a first line deeper than 0, a jump of depth, a second root, a blank or
+    Errors: a first line deeper than 0, a root with refs, a jump of depth, a second root, a blank or
     long label, a repeated ref within a line, an unknown ref, a group (no refs)
     whose next line is not one deeper, a unit (with refs) that has children.
     Warning: a ref that an earlier line used.
@@ -19,6 +23,7 @@ def outline_findings(lines: DataFrame, valid: DataFrame | None = None) -> DataFr
     x = lines.withColumns({"last": F.lag("depth").over(w), "next": F.lead("depth").over(w), "n": F.size("refs")})
     checks = {
         "first line is not at depth 0": F.col("last").isNull() & (F.col("depth") != 0),
+        "root has refs": F.col("last").isNull() & (F.col("n") > 0),
         "depth jumps": F.col("depth") > F.col("last") + 1,
         "second root": F.col("last").isNotNull() & (F.col("depth") == 0),
         "label is blank or over 100": (F.trim("label") == "") | (F.length("label") > 100),
@@ -37,12 +42,25 @@ def outline_findings(lines: DataFrame, valid: DataFrame | None = None) -> DataFr
     return out
 
 
-def outline_parents(lines: DataFrame) -> DataFrame:
-    """lines with parent: the last earlier line that is less deep."""
-    a, b = lines.alias("a"), lines.alias("b")
-    up = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.line") < F.col("a.line")) & (F.col("b.depth") < F.col("a.depth")))
-    up = up.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.line").alias("line")).agg(F.max("b.line").alias("parent"))
-    return lines.join(up, ["doc_id", "line"], "left")
+def outline_parents(lines: DataFrame, deepest: int = 64) -> DataFrame:
+    """lines with parent: the last earlier line that is less deep.
+
+    A running array holds the last line of each depth, up to deepest levels; deeper lines have the last line of that level or above.
+    """
+    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.array(*(F.max(F.when(F.least(F.col("depth"), F.lit(deepest)) == d, F.col("line"))).over(w) for d in range(deepest + 1)))
+    seen = lines.withColumn("_last", last)
+    return seen.withColumn("parent", F.when(F.col("depth") > 0, F.array_max(F.slice("_last", F.lit(1), F.least(F.col("depth"), F.lit(deepest)).cast("int"))))).drop("_last")
+
+
+def outline_tree(lines: DataFrame) -> DataFrame:
+    """lines with parent and place among siblings, and refs of their own or, for a group, the first ref of each child."""
+    own = outline_parents(lines)
+    w = Window.partitionBy("doc_id", "parent").orderBy("line")
+    firsts = own.where(F.size("refs") > 0).select("doc_id", F.col("parent").alias("_p"), F.struct("line", F.col("refs")[0].alias("ref")).alias("_r"))
+    firsts = firsts.groupBy("doc_id", F.col("_p").alias("line")).agg(F.transform(F.sort_array(F.collect_list("_r")), lambda x: x["ref"]).alias("child_refs"))
+    j = own.withColumn("place", F.row_number().over(w)).join(firsts, ["doc_id", "line"], "left")
+    return j.withColumn("source_refs", F.when(F.size("refs") > 0, F.col("refs")).otherwise(F.coalesce("child_refs", F.array().cast("array<string>")))).drop("child_refs")
 
 
 def outline_report(lines: DataFrame) -> DataFrame:
@@ -87,8 +105,8 @@ def hierarchy_decision(gate_failed: Column, complete: Column, scores: list[Colum
     return F.when(gate_failed, "reject").when(~complete | ~needed, "insufficient_evidence").when(poor, "revise").otherwise("usable")
 
 
-def preference_pairs(scored: DataFrame, keys: list[str], candidate: str, criteria: list[str], margin: int = 2) -> DataFrame:
-    """(keys, chosen, rejected, margin): pairs in which one candidate is nowhere worse and ahead by the margin in sum."""
+def preference_pairs(scored: DataFrame, keys: list[str], candidate: str, criteria: list[str], margin: int = 2, content: str | None = None) -> DataFrame:
+    """(keys, chosen, rejected, margin): pairs in which one candidate is nowhere worse and ahead by the margin in sum; candidates of one content make none."""
     a, b = scored.alias("a"), scored.alias("b")
     same = F.lit(True)
     for k in keys:
@@ -97,7 +115,10 @@ def preference_pairs(scored: DataFrame, keys: list[str], candidate: str, criteri
     for c in criteria:
         worse = worse & (F.col(f"a.{c}") >= F.col(f"b.{c}"))
         lead = lead + F.col(f"a.{c}") - F.col(f"b.{c}")
-    pairs = a.join(b, same & (F.col(f"a.{candidate}") != F.col(f"b.{candidate}")) & worse & (lead >= margin))
+    other = F.col(f"a.{candidate}") != F.col(f"b.{candidate}")
+    if content:
+        other = other & ~F.col(f"a.{content}").eqNullSafe(F.col(f"b.{content}"))
+    pairs = a.join(b, same & other & worse & (lead >= margin))
     return pairs.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col(f"a.{candidate}").alias("chosen"), F.col(f"b.{candidate}").alias("rejected"), lead.alias("margin"))
 
 
@@ -136,21 +157,56 @@ def judgment_errors(rows: DataFrame) -> DataFrame:
     )))
 
 
-def preflight(nodes: DataFrame, roots: DataFrame, required: DataFrame) -> DataFrame:
-    """(packet, check, status) for candidate graphs: nodes (packet, id, kind, children, refs), roots (packet, root), required (packet, id)."""
+def preflight(nodes: DataFrame, roots: DataFrame, required: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """(packet, check, status) for candidate graphs: nodes (packet, id, kind, children, refs), roots (packet, root), required (packet, id).
+
+    With an inventory (packet, id, complete) refs are checked too: an unknown one
+    fails if the inventory is complete for its scope, and cannot be assessed if
+    not. Required ids that nothing refers to cannot be assessed either.
+    """
     edges = nodes.select("packet", F.col("id").alias("parent"), F.explode("children").alias("child"))
     ids = nodes.select("packet", "id")
+    refs = nodes.select("packet", F.explode("refs").alias("id")).distinct()
+
+    def walk(rows: list[dict]) -> list[dict]:
+        children = {r["id"]: r["children"] or [] for r in rows if r["id"] is not None}
+        root = next((r["root"] for r in rows if r["root"] is not None), None)
+        depth, done, cycle = set(), set(), False
+        stack = [(root, False)] if root in children else []
+        while stack:
+            i, leave = stack.pop()
+            if leave:
+                depth.discard(i)
+                done.add(i)
+            elif i in depth:
+                cycle = True
+            elif i not in done and i in children:
+                depth.add(i)
+                stack.append((i, True))
+                stack += [(c, False) for c in children[i]]
+        return [{"packet": rows[0]["packet"], "cycle": cycle, "loose": bool(set(children) - done)}]
+
+    kind = nodes.schema["packet"].dataType.simpleString()
+    whole = nodes.select("packet", "id", "children", F.lit(None).cast("string").alias("root")).unionByName(roots.select("packet", F.lit(None).cast("string").alias("id"), F.lit(None).cast("array<string>").alias("children"), "root"))
+    shape = by_document(whole, walk, f"packet {kind}, cycle boolean, loose boolean", order="id", key="packet")
     checks = {
         "duplicate ids": nodes.groupBy("packet", "id").count().where("count > 1"),
         "missing child": edges.join(ids, (edges.packet == ids.packet) & (edges.child == ids.id), "left_anti"),
-        "dom leaf with children": nodes.where("kind = 'dom' and size(children) > 0"),
+        "dom leaf with children": nodes.where("kind = 'dom' and (size(children) > 0 or size(refs) <> 1)"),
         "several parents": edges.groupBy("packet", "child").count().where("count > 1"),
         "missing root": roots.join(ids, (roots.packet == ids.packet) & (roots.root == ids.id), "left_anti"),
-        "required ref missing": required.join(nodes.select("packet", F.explode("refs").alias("id")).distinct(), ["packet", "id"], "left_anti"),
-    }
+        "cycle": shape.where("cycle"), "unreachable node": shape.where("loose"),
+    }
     packets = roots.select("packet").distinct()
-    out = None
-    for name, bad in checks.items():
-        one = packets.join(bad.select("packet").distinct().withColumn("bad", F.lit(True)), "packet", "left").select("packet", F.lit(name).alias("check"), F.when(F.col("bad"), "fail").otherwise("pass").alias("status"))
-        out = one if out is None else out.unionByName(one)
-    return out
+
+    def statuses(name: str, bad: DataFrame, status: Column) -> DataFrame:
+        found = bad.groupBy("packet").agg(F.max(status).alias("bad"))
+        return packets.join(found, "packet", "left").select("packet", F.lit(name).alias("check"), F.coalesce("bad", F.lit("pass")).alias("status"))
+
+    out = [statuses(n, bad, F.lit("fail")) for n, bad in checks.items()]
+    out.append(statuses("required ref missing", required.join(refs, ["packet", "id"], "left_anti"), F.lit("not_assessable")))
+    if inventory is not None:
+        complete = inventory.groupBy("packet").agg(F.bool_and("complete").alias("complete"))
+        unknown = refs.join(inventory, ["packet", "id"], "left_anti").join(complete, "packet", "left")
+        out.append(statuses("unresolved ref", unknown, F.when(F.col("complete"), "fail").otherwise("not_assessable")))
+    return reduce(DataFrame.unionByName, out)

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treeline.functions.text import collapse
+from treeline.functions.text import collapse, template_signature
 from treeline.operators.ranking import ranked
 
 
+#: Groups up to which their totals are sent to every task.
+BROADCAST_GROUPS = 100_000
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the cluster's folder if it names one."""
+    """A reliable checkpoint, in the folder that the cluster names; one of this machine only where all of Spark runs in one process."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="treeline-"))
     return df.checkpoint()
 
@@ -68,18 +75,19 @@ def disjoint(train: DataFrame, dev: DataFrame, on: list[str]) -> DataFrame:
 
 def inventory(captures: DataFrame, order: str, path: str, sha: str, ok: Column) -> DataFrame:
     """status ready, duplicate or skipped, and of which row one is a duplicate: first seen by path or by hash wins."""
-    by_hash, by_path = Window.partitionBy(sha).orderBy(order), Window.partitionBy(path).orderBy(order)
-    good = captures.where(ok).withColumns({"_h": F.first(order).over(by_hash), "_p": F.first(order).over(by_path)})
+    good = captures.where(ok)
+    by_hash, by_path = good.groupBy(sha).agg(F.min(order).alias("_h")), good.groupBy(path).agg(F.min(order).alias("_p"))
     first = F.least("_h", "_p")
+    good = good.join(by_hash, sha).join(by_path, path)
     good = good.select(*captures.columns, F.when(first < F.col(order), "duplicate").otherwise("ready").alias("status"), F.when(first < F.col(order), first).alias("duplicate_of"))
     bad = captures.where(~F.coalesce(ok, F.lit(False))).select(*captures.columns, F.lit("skipped").alias("status"), F.lit(None).cast(captures.schema[order].dataType).alias("duplicate_of"))
     return good.unionByName(bad)
 
 
 def duplicate_gate(rows: DataFrame, key: str, digest: str, accepted: Column) -> DataFrame:
-    """duplicate: whether an earlier accepted row has the same digest."""
-    first = F.min(F.when(accepted, F.col(key))).over(Window.partitionBy(digest))
-    return rows.withColumn("duplicate", F.coalesce(F.col(key) > first, F.lit(False)))
+    """duplicate: whether an earlier accepted row has the same digest. The least key of a digest is an aggregate, so a digest that many rows have is no task of its own."""
+    first = rows.where(accepted).groupBy(F.col(digest).alias("_d")).agg(F.min(key).alias("_f"))
+    return rows.join(first, F.col(digest) == F.col("_d"), "left").withColumn("duplicate", F.coalesce(F.col(key) > F.col("_f"), F.lit(False))).drop("_d", "_f")
 
 
 def admission(rows: DataFrame, reasons: dict[str, Column]) -> DataFrame:
@@ -109,11 +117,9 @@ def weighted_nll(rows: DataFrame, by: list[str], loss: str, tokens: str) -> Data
     return rows.groupBy(*by).agg((F.sum(F.col(loss) * F.col(tokens)) / F.sum(tokens)).alias("nll"))
 
 
-def template_of(nodes: DataFrame) -> DataFrame:
-    """(doc_id, signature): hash of tags, classes, roles and types in document order."""
-    part = F.concat_ws("|", "tag", F.coalesce(F.col("attributes")["class"], F.lit("")), F.coalesce(F.col("attributes")["role"], F.lit("")), F.coalesce(F.col("attributes")["type"], F.lit("")))
-    tokens = F.sort_array(F.collect_list(F.struct("pre", part.alias("t"))))
-    return nodes.where("kind = 'element'").groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(tokens, lambda x: x["t"]), "\n"), 256).alias("signature"))
+def template_of(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(doc_id, signature): hash of a page's start and end tags with classes, roles and types."""
+    return pages.select(F.col(id_col).alias("doc_id"), template_signature(F.col(html_col)).alias("signature"))
 
 
 def document_digest(text: Column) -> Column:
@@ -121,10 +127,16 @@ def document_digest(text: Column) -> Column:
 
 
 def budget_split(rows: DataFrame, budget: int, by: list[str], order: str) -> DataFrame:
-    """Adds share: an even split of the budget, the first ones getting what is left over."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    return rows.withColumn("share", (F.floor(F.lit(budget) / n) + (place <= F.lit(budget) % n).cast("int")).cast("long"))
+    """Adds share: an even split of the budget, the first ones getting what is left over.
+
+    Places come from range partitions of the whole table, so a group of any size is no task of its own.
+    """
+    n = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    at = ranked(rows, [*by, order], "_r")
+    first = at.groupBy(*by).agg(F.min("_r").alias("_f"))
+    j = at.join(F.broadcast(n.join(first, by)), by) if n.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else at.join(n.join(first, by), by)
+    share = F.floor(F.lit(budget) / F.col("_n")) + (F.col("_r") - F.col("_f") < F.lit(budget) % F.col("_n")).cast("int")
+    return j.withColumn("share", share.cast("long")).drop("_n", "_r", "_f")
 
 
 def median_of(values: list[float]) -> float | None:

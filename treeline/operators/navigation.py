@@ -45,8 +45,25 @@ def jump_cost(found: DataFrame) -> DataFrame:
 
 
 def summary(costs: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Count, median (middle of two), nearest-rank 90th percentile and mean; null for no rows."""
-    return costs.groupBy(*by).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.percentile_disc(value, 0.9).alias("p90") if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc(0.9) within group (order by {value})").alias("p90"), F.avg(value).alias("mean"))
+    """Count, median (middle of two), nearest-rank 90th percentile and mean; null for no rows.
+
+    Rows are counted by distinct value before anything is gathered, so a group of
+    any size costs its distinct values, spread over partitions by value; ranks
+    come from running counts.
+    """
+    counted = costs.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by).orderBy(value)
+    total = F.sum("_c").over(Window.partitionBy(*by))
+    c = counted.withColumns({"_hi": F.sum("_c").over(w), "_n": total}).withColumn("_lo", F.col("_hi") - F.col("_c"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_lo") < rank) & (rank <= F.col("_hi")), F.col(value)))
+
+    n = F.col("_n")
+    low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
+    found = c.groupBy(*by).agg(F.sum("_c").alias("n"), ((at(low) + at(high)) / 2).cast("double").alias("median"), at(F.ceil(n * 9 / 10)).alias("p90"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"))
+    groups = costs.select(*by).distinct()
+    return groups.join(found, by, "left").fillna(0, ["n"])
 
 
 def hierarchy_cost(found: DataFrame, leaf_refs: DataFrame) -> DataFrame:

@@ -81,20 +81,37 @@ def admission_ledger(requests: DataFrame, cap: int, gap_s: float) -> DataFrame:
     return inside.withColumn("admitted", F.lit(True)).unionByName(placed.where(F.col("place") > cap).withColumns({"start": F.lit(None).cast("double"), "admitted": F.lit(False)}))
 
 
+#: Roles that a user fills, activates and orients by.
+FILL_ROLES = ["textbox", "searchbox", "combobox", "spinbutton"]
+ACTIVATE_ROLES = [
+    *FILL_ROLES, "button", "link", "checkbox", "radio", "switch", "tab", "menuitem", "menuitemcheckbox", "menuitemradio", "option", "treeitem", "slider", "listbox", "select", "disclosuretriangle",
+]
+LANDMARK_ROLES = ["banner", "complementary", "contentinfo", "form", "main", "navigation", "region", "search", "dialog", "alertdialog"]
+
+
 class Reader:
     """A reader of grouped items: a stack of places, a page, and accounts of what was shown.
 
-    An invalid action raises ValueError and charges nothing.
+    Besides the hierarchy it lists the source, and all headings, landmarks or
+    controls of it (roles: item to role, in document order; items without roles
+    are groups). An invalid action raises ValueError and charges nothing.
     """
 
-    def __init__(self, children: dict[str, list[str]], labels: dict[str, str], page_size: int = 12):
-        self.children, self.labels, self.size = children, labels, page_size
+    def __init__(self, children: dict[str, list[str]], labels: dict[str, str], page_size: int = 12, roles: dict[str, str] | None = None):
+        self.children, self.labels, self.size, self.roles = children, labels, page_size, roles or {}
         self.stack, self.page = ["root"], 0
         self.words = self.choices = self.moves = self.actions = self.observations = 0
+        held = {c for own in children.values() for c in own}
+        self.lists = {
+            ":source": [i for i in self.roles if i not in held or i in children.get("root", [])], ":headings": [i for i, r in self.roles.items() if r == "heading"],
+            ":landmarks": [i for i, r in self.roles.items() if r in LANDMARK_ROLES], ":controls": [i for i, r in self.roles.items() if r in ACTIVATE_ROLES],
+        }
+
+    def _all(self) -> list[str]:
+        return self.lists.get(self.stack[-1], self.children.get(self.stack[-1], []))
 
     def items(self) -> list[str]:
-        own = self.children.get(self.stack[-1], [])
-        return own[self.page * self.size : (self.page + 1) * self.size]
+        return self._all()[self.page * self.size : (self.page + 1) * self.size]
 
     def observe(self) -> list[str]:
         shown = self.items()
@@ -103,24 +120,34 @@ class Reader:
         self.words += sum(len(self.labels.get(i, i).split()) for i in shown)
         return shown
 
+    def _on_page(self, target: str | None) -> str:
+        """The item that a target names, with or without the mark of its kind; it has to stand on the page, once."""
+        shown = [i for i in self.items() if target in (i, i.partition(":")[2] if ":" in i else i)]
+        if len(shown) != 1:
+            raise ValueError(f"{target} is not on this page, or not alone")
+        return shown[0]
+
     def act(self, action: str, target: str | None = None) -> list[str]:
-        own = self.children.get(self.stack[-1], [])
         if action == "expand":
-            if target not in self.items() or not self.children.get(target):
+            item = self._on_page(target)
+            if not self.children.get(item):
                 raise ValueError(f"{target} cannot be expanded here")
-            self.stack, self.page = [*self.stack, target], 0
+            self.stack, self.page = [*self.stack, item], 0
+        elif f":{action}" in self.lists:
+            self.stack, self.page = [*self.stack, f":{action}"], 0
         elif action == "up":
             if len(self.stack) == 1:
                 raise ValueError("at the root")
             self.stack, self.page = self.stack[:-1], 0
         elif action in ("next", "previous"):
             new = self.page + (1 if action == "next" else -1)
-            if not 0 <= new < max(1, -(-len(own) // self.size)):
+            if not 0 <= new < max(1, -(-len(self._all()) // self.size)):
                 raise ValueError("no such page")
             self.page = new
         elif action in ("activate", "fill"):
-            if target not in self.items():
-                raise ValueError(f"{target} is not on this page")
+            role = self.roles.get(self._on_page(target))
+            if self.roles and role not in (FILL_ROLES if action == "fill" else ACTIVATE_ROLES):
+                raise ValueError(f"{target} takes no {action}")
             self.actions += 1
             return self.observe()
         else:
@@ -130,14 +157,15 @@ class Reader:
 
 
 def replay(actions: DataFrame, items: DataFrame, page_size: int = 12) -> DataFrame:
-    """One row per session: what a Reader counted over its actions (session, step, action, target) on items (session, parent, item, ord, label).
+    """One row per session: what a Reader counted over its actions (session, step, action, target) on items (session, parent, item, ord, label, and role if actions depend on it).
 
     A session is replayed by one task, step by step, since each action depends on the ones before.
     """
 
     def run(key: tuple, acts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("ord")
-        reader = Reader({p: g["item"].tolist() for p, g in own.groupby("parent")}, dict(zip(own["item"], own["label"], strict=True)), page_size)
+        roles = {i: r for i, r in zip(own["item"], own["role"], strict=True) if isinstance(r, str)} if "role" in own else None
+        reader = Reader({p: g["item"].tolist() for p, g in own.groupby("parent")}, dict(zip(own["item"], own["label"], strict=True)), page_size, roles)
         errors = 0
         reader.observe()
         for a in acts.sort_values("step").itertuples():

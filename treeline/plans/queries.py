@@ -2,45 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from treeline.functions import text as tx
-from treeline.operators import compaction, contracts, dataset, navigation, observe, traces, tree
-from treeline.sources import html
+from treeline.operators import compaction, contracts, dataset, navigation, observe, release, reports, traces, tree, views
+from treeline.plans.registry import ORACLE, QUERIES, bigints, page_nodes, query, table
 from treeline.streaming import logtail
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query by its name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.nodes(table(spark, sf_dir, "pages"))
-
-
-def bigints(df: DataFrame) -> DataFrame:
-    """int columns as long, as SQL engines count."""
-    return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes))
+__all__ = ["ORACLE", "QUERIES"]
 
 
 # Pages: sources, scalar functions, trees.
@@ -82,15 +52,24 @@ def host_rollup(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(tx.host(F.col("url")).alias("host")).agg(F.count("*").alias("n_pages"), F.sum(F.octet_length("html")).alias("n_bytes"))
 
 
-@query("""
-select page_id, regexp_matches(url, '^https://[A-Za-z][A-Za-z0-9.\\-]*(/[^?#@:]*)?$')
-  and regexp_matches(regexp_extract(url, '://([^/?#:]*)', 1), '^[a-z]+\\.example\\.org$') as safe from pages""")
+_HOSTS = [f"{m}{h}.example.{d}" for m in ("", "m.") for h in ("thre", "thther", "ththre", "ththth", "the") for d in ("org", "net", "com")]
+_SAFE = f"""case when regexp_full_match(u, '#[A-Za-z0-9_-]+') then u
+  when lower(split_part(u, '://', 1)) = 'https' and list_contains({_HOSTS}, lower(regexp_replace(a, ':(443)?$', ''))) and coalesce(regexp_extract(u, '[?]([^#]*)', 1), '') = ''
+    and not regexp_matches(p, '(?i)(token|session|secret|password|api[_-]?key)') then 'https://' || lower(regexp_replace(a, ':(443)?$', '')) || p else '' end"""
+
+
+@query(f"""
+with v as (select page_id, k, u from (select page_id, unnest([0, 1, 2, 3, 4, 5, 6, 7]) as k, unnest([url, split_part(split_part(replace(url, 'http://', 'https://'), '?', 1), '#', 1), replace(url, 'http://', 'HTTPS://') || '', 'https://u:p@the.example.org/x', 'https://the.example.org:443/a#b',
+  'https://the.example.org:8443/a', 'https://THE.example.org/my-session/' || page_id, '#part-' || page_id]) as u from pages)),
+x as (select *, regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1) as a, regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as p from v)
+select page_id, k::bigint as k, {_SAFE} as safe from x""")
 def safe_urls(spark, sf_dir):
-    """Whether a URL is a plain https one of an allowed kind of host."""
+    """What is left of a page's URL, and of variants of it with a user, ports, a fragment and token-like words, if only some hosts are allowed."""
     u = F.col("url")
-    plain = u.rlike(r"^https://[A-Za-z][A-Za-z0-9.\-]*(/[^?#@:]*)?$")
-
-    return table(spark, sf_dir, "pages").select("page_id", (plain & tx.host(u).rlike(r"^[a-z]+\.example\.org$")).alias("safe"))
+    made = [u, F.substring_index(F.substring_index(F.replace(u, F.lit("http://"), F.lit("https://")), "?", 1), "#", 1), F.replace(u, F.lit("http://"), F.lit("HTTPS://")), F.lit("https://u:p@the.example.org/x"), F.lit("https://the.example.org:443/a#b"),
+            F.lit("https://the.example.org:8443/a"), F.concat(F.lit("https://THE.example.org/my-session/"), F.col("page_id").cast("string")), F.concat(F.lit("#part-"), F.col("page_id").cast("string"))]
+    v = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.array(*made)).alias("k", "u"))
+    return v.select("page_id", F.col("k").cast("long").alias("k"), tx.safe_url(F.col("u"), _HOSTS).alias("safe"))
 
 
 @query()
@@ -125,7 +104,37 @@ def page_headings_before(spark, sf_dir):
 
 @query()
 def page_templates(spark, sf_dir):
-    return dataset.template_of(page_nodes(spark, sf_dir))
+    """Signatures of start and end tags."""
+    return dataset.template_of(table(spark, sf_dir, "pages"))
+
+
+@query()
+def page_views(spark, sf_dir):
+    """Views of pages under a budget, with sizes, status and broken promises."""
+    return views.views(page_nodes(spark, sf_dir), "budget", 3_000)
+
+
+@query()
+def page_view_ledger(spark, sf_dir):
+    return views.view_ledger(page_nodes(spark, sf_dir), "budget", 3_000)
+
+
+@query()
+def page_view_regions(spark, sf_dir):
+    """Regions of pages that fit a budget each."""
+    return views.view_regions(page_nodes(spark, sf_dir), "structure", 2_000)
+
+
+@query()
+def page_navigation(spark, sf_dir):
+    """What a reader moves through on each page."""
+    return views.navigation(page_nodes(spark, sf_dir), "structure", 1 << 30)
+
+
+@query("select page_id as doc_id, name, sum(octet_length(encode(name || value)))::bigint as n_bytes from (select page_id, unnest(regexp_extract_all(html, '<[a-z0-9]+ (class|charset)=\"[^\"]*\"', 1)) as name, unnest(regexp_extract_all(html, '<[a-z0-9]+ (?:class|charset)=\"([^\"]*)\"', 1)) as value from pages) group by all")
+def page_removed_attributes(spark, sf_dir):
+    """Bytes of attributes that compaction does not keep."""
+    return reports.removed_attribute_bytes(page_nodes(spark, sf_dir).where("kind = 'element'"), [*compaction.KEEP, "href"])
 
 
 @query()
@@ -187,16 +196,42 @@ def excerpts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.excerpt(F.col("text"), 180).alias("excerpt"))
 
 
-def _sanitised_sql(column: str) -> str:
-    for _, pattern, by in tx.PRIVATE:
-        column = f"regexp_replace({column}, '{pattern}', '{by.replace('$1', chr(92) + '1')}', 'g')"
-    return column
+_OK_HOSTS = ["example.org", "www.example.com"]
+
+
+def _sql(text: str) -> str:
+    return text.replace("'", "''")
+
 
+_SECRET = " or ".join(f"regexp_matches(text, '{_sql(p)}')" for p in [tx.CREDENTIAL, *tx.SECRETS.values()])
 
-@query(f"select doc_id, sha256({_sanitised_sql('text')}) as digest, " + ", ".join(f"len(regexp_extract_all(text, '{p}'))::bigint as n_{n}" for n, p, _ in tx.PRIVATE) + " from documents")
+
+@query(f"""
+with c as (select doc_id, text, ({_SECRET}) as secret, regexp_replace(regexp_replace(text, '{_sql(tx.LOCAL_PATH)}', '[omitted]', 'g'), '{_sql(tx.EMAIL)}', '[omitted]', 'g') as t from documents),
+s as (select doc_id, text, secret, t, list_transform(regexp_extract_all(t, '{_sql(tx.URL)}'), lambda u: case when regexp_matches(u, '^https://(example.org|www.example.com)(:443|:)?(/[^?#]*)?[?]?(#.*)?$')
+    and not regexp_matches(regexp_extract(u, '^https://[^/?#]*([^?#]*)', 1), '{_sql(tx.TOKEN_WORD)}') then 'https://' || regexp_extract(u, '^https://([^/?#:]*)', 1) || regexp_extract(u, '^https://[^/?#]*([^?#]*)', 1) else '[omitted]' end) as urls,
+  string_split_regex(t, '{_sql(tx.URL)}') as parts from c)
+select doc_id, secret, sha256(case when secret then '[omitted]' else array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(urls[i], '')), '') end) as digest,
+  len(regexp_extract_all(text, '{_sql(tx.EMAIL)}'))::bigint as n_email, len(regexp_extract_all(text, '{_sql(tx.URL)}'))::bigint as n_url from s""")
 def private_text(spark, sf_dir):
-    counts = [c.cast("long").alias(n) for n, c in tx.private_counts(F.col("text")).items()]
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.sanitise(F.col("text")), 256).alias("digest"), *counts)
+    """Safe text of every document, whether it holds a secret, and counts of addresses."""
+    t = F.col("text")
+    counts = tx.private_counts(t)
+    safe = table(spark, sf_dir, "documents").select("doc_id", tx.has_secret(t).alias("secret"), F.sha2(tx.safe_text(t, _OK_HOSTS), 256).alias("digest"), *(counts[c].cast("long").alias(c) for c in ("n_email", "n_url")))
+    return safe
+
+
+@query("""
+with d as (select doc_id, coalesce(text, '') || chr(10) || case doc_id % 4 when 0 then 'key AKIA' || repeat('Q', 16) when 1 then 'bearer ' || repeat('a', 30) || ' or Bearer ' || repeat('b', 24) when 2 then 'sk-' || repeat('z', 27) else '' end as text from documents),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place from d),
+k as (select doc_id, place, unnest([""" + ", ".join(f"{{'type': '{k}', 'n': len(regexp_extract_all(line, '{_sql(p)}'))}}" for k, p in tx.SECRETS.items()) + """]) as k from l)
+select doc_id::varchar as path, place::bigint as line, k.type as type, sum(k.n)::bigint as n from k where k.n > 0 group by all""")
+def secret_places(spark, sf_dir):
+    """Kinds and places of secrets, by line, in documents with a line behind them that holds one, two or none."""
+    k = F.col("doc_id") % 4
+    last = F.when(k == 0, "key AKIA" + "Q" * 16).when(k == 1, "bearer " + "a" * 30 + " or Bearer " + "b" * 24).when(k == 2, "sk-" + "z" * 27).otherwise("")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), last).alias("text"))
+    return release.secret_findings(d, "path", "text").where("line > 0").groupBy("path", F.col("line").cast("long").alias("line"), "type").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -346,6 +381,7 @@ x as (select *, lag(depth) over (partition by doc_id order by line) as last, lea
 @query(f"""with {_OUTLINE}
 select doc_id, line, 'error' as level, 'first line is not at depth 0' as finding from x where last is null and depth <> 0
 union all select doc_id, line, 'error', 'depth jumps' from x where depth > last + 1
+union all select doc_id, line, 'error', 'root has refs' from x where last is null and unit
 union all select doc_id, line, 'error', 'second root' from x where last is not null and depth = 0
 union all select doc_id, line, 'error', 'label is blank or over 100' from x where trim(label) = '' or length(label) > 100
 union all select doc_id, line, 'error', 'group without children' from x where not unit and coalesce(next, -1) <> depth + 1
@@ -467,6 +503,14 @@ def preference_pairs(spark, sf_dir):
     return p.select("l_orderkey", "chosen", "rejected", F.col("margin").cast("long").alias("margin"))
 
 
+@query("""
+select a.l_orderkey, count(*) as pairs from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber <> b.l_linenumber and a.l_returnflag <> b.l_returnflag and a.l_quantity - b.l_quantity >= 2 group by 1""")
+def preference_pairs_of_content(spark, sf_dir):
+    """Lines of an order by quantity; lines of one return flag count as one content and make no pair."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return contracts.preference_pairs(l, ["l_orderkey"], "l_linenumber", ["l_quantity"], 2, "l_returnflag").groupBy("l_orderkey").agg(F.count("*").alias("pairs"))
+
+
 @query("""
 with r as (select l_returnflag, l_quantity, row_number() over (partition by l_returnflag order by l_quantity) as rn, count(*) over (partition by l_returnflag) as n from lineitem)
 select l_returnflag, count(*) as n, median(l_quantity) as median, max(case when rn = ceil(0.9 * n) then l_quantity end) as p90, round(avg(l_quantity), 6) as mean from r group by 1""")
@@ -507,3 +551,6 @@ def top_orders(spark, sf_dir):
     """The three largest orders of each customer: a top-k report."""
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("rk")).where("rk <= 3")
+
+
+from treeline.plans import derived, rules  # noqa: E402, F401  they register queries of their own
