@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Words and pairs that a worker remembers; forgotten all at once, which changes no result.
 REMEMBERED, PAIRS = 300_000, 2_000_000
-#: Words up to this length go through the trie; longer ones are encoded by merges with a heap.
-LONGEST = 200
 
 _WORD = re.compile(f"\n|{MARK}{MARK}+[^{MARK}]*|{MARK}?[^{MARK}\n]+|{MARK}")
 
@@ -106,9 +104,6 @@ class PieceEncoder:
         last: list[str] = [""]  # last[i]: last piece of the encoding of the first i signs of the word
         before = ""
         for word in sorted(words):
-            if len(word) > LONGEST or word.startswith(MARK + MARK):
-                self.known[word] = np.array(self.ids(self.merge(word)), "<u4").tobytes()
-                continue
             shared = 0
             for a, b in zip(word, before, strict=False):
                 if a != b:
