@@ -8,7 +8,8 @@ turns only, so each assistant text is a target exactly once however often it is
 repeated as history. Control strings inside texts and roles are escaped
 reversibly, so a text can never end its turn.
 
-Turns of a conversation are read as a sorted stream, so memory is bounded by a
+Texts are tokenised where they are read; only then are the turns of a conversation
+brought together, sorted. They are read as a stream, so memory is bounded by a
 window however long the conversation is.
 
 Defined results: null texts and roles are empty ones. Turns go by (turn, role,
@@ -22,8 +23,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,55 +69,71 @@ class Turn:
         return f"{START}{escape_role(self.role)}\n{escape(self.text)}{END}\n"
 
 
-@dataclass
 class Windows:
-    """Cuts the turns of one conversation, given one by one, into windows."""
-
-    budget: int
-    history: int
-    target: str = "assistant"
-    system: Turn | None = None
-    seen: int = 0
-    number: int = 0
-    repeated: list[Turn] = field(default_factory=list)
-    new: list[Turn] = field(default_factory=list)
-    used: int = 0
+    """Cuts the turns of one conversation, given in order, into windows: spans chosen by search in prefix sums of tokens.
+
+    Turns are held from the history of the open window on, so memory is bounded however long the conversation is.
+    """
+
+    def __init__(self, budget: int, history: int, target: str = "assistant"):
+        self.budget, self.history, self.target = budget, history, target
+        self.system: Turn | None = None
+        self.held: list[Turn] = []
+        self.sums = np.zeros(1, np.int64)  # sums[i]: tokens of the first i held turns
+        self.gone = self.start = self.low = self.number = 0  # turns before the held ones; held places where the open window and its history begin
+
+    def extend(self, turns: list[Turn]) -> Iterator[dict]:
+        """The windows that these turns close."""
+        if turns and not self.gone and not self.held and turns[0].role == "system":
+            self.system = turns[0]
+        self.held += turns
+        self.sums = np.concatenate((self.sums, self.sums[-1] + np.cumsum([t.tokens for t in turns], dtype=np.int64)))
+        while self.start < len(self.held):
+            low, end = self._span()
+            if end == len(self.held):
+                break
+            yield self._window(low, end)
+        if self.low:
+            self.gone, self.start, self.held, self.sums = self.gone + self.low, self.start - self.low, self.held[self.low :], self.sums[self.low :]
+            self.low = 0
 
     def add(self, turn: Turn) -> Iterator[dict]:
-        if self.new and self.used + turn.tokens > self.budget:
-            yield self.close()
-        first = 1 if self.system else 0
-        while not self.new and len(self.repeated) > first and self.used + turn.tokens > self.budget:
-            self.used -= self.repeated.pop(first).tokens
-        self.new.append(turn)
-        self.used += turn.tokens
-        self.seen += 1
-        if self.seen == 1 and turn.role == "system":
-            self.system = turn
+        yield from self.extend([turn])
 
     def close(self) -> dict:
-        """The window so far; the next one starts with the system turn and the end of this one."""
-        first = self.seen - len(self.new)
+        """The last window."""
+        return self._window(*self._span())
+
+    def _kept(self) -> int:
+        """Tokens of the system turn, where it is repeated."""
+        return self.system.tokens if self.system and self.number else 0
+
+    def _span(self) -> tuple[int, int]:
+        """Held places where the history of the open window begins and where the window ends: history gives way to the first new turn."""
+        room = self.budget - self._kept()
+        low = int(np.searchsorted(self.sums, self.sums[self.start + 1] - room))
+        low = min(max(low, self.low), self.start)
+        return low, max(self.start + 1, int(np.searchsorted(self.sums, self.sums[low] + room, "right")) - 1)
+
+    def _window(self, low: int, end: int) -> dict:
+        """The window of a span; the next one starts with the system turn and the end of this one."""
+        again = [self.system] if self._kept() else []
+        again += self.held[low : self.start]
         parts, spans, at = [], [], 0
-        for k, turn in enumerate([*self.repeated, *self.new]):
+        for k, turn in enumerate([*again, *self.held[self.start : end]]):
             whole = turn.formatted()
-            if k >= len(self.repeated) and turn.role == self.target:
+            if k >= len(again) and turn.role == self.target:
                 head = len(START) + len(escape_role(turn.role)) + 1
                 spans.append((at + head, at + len(whole) - len(END) - 1))
             parts.append(whole)
             at += len(whole)
-        out = {"window": self.number, "first_turn": first, "n_new": len(self.new), "n_repeated": len(self.repeated), "n_tokens": self.used, "text": "".join(parts), "loss": spans}
-        past = [t for t in [*self.repeated, *self.new] if t is not self.system]
-        tail: list[Turn] = []
-        left = min(self.history, self.budget - (self.system.tokens if self.system else 0))
-        for turn in reversed(past):
-            if turn.tokens > left:
-                break
-            left -= turn.tokens
-            tail.insert(0, turn)
-        self.repeated = [*([self.system] if self.system else []), *tail]
-        self.new, self.number = [], self.number + 1
-        self.used = sum(t.tokens for t in self.repeated)
+        used = int(self.sums[end] - self.sums[low]) + self._kept()
+        out = {"window": self.number, "first_turn": self.gone + self.start, "n_new": end - self.start, "n_repeated": len(again), "n_tokens": used, "text": "".join(parts), "loss": spans}
+        self.number += 1
+        left = min(self.history, self.budget - self._kept())
+        first = 1 if self.system and not self.gone else 0  # the system turn is repeated by itself
+        self.low = min(end, max(low, first, int(np.searchsorted(self.sums, self.sums[end] - left))))
+        self.start = end
         return out
 
 
@@ -153,30 +171,41 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGE
     Rows of a conversation come from one task, in order of window.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, state, now, begun, ready = counter(tokenizer), None, None, False, []
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(tokenizer)
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 batch = whole.slice(i, 1024)
-                convs, roles, texts = (batch.column(k).to_pylist() for k in (0, 1, 2))
-                sizes = count([escape(t) for t in texts])
-                for conv, role, text, size in zip(convs, roles, texts, sizes, strict=True):
-                    if not begun or conv != now:
-                        if state and state.new:
+                sizes = count([escape(t) for t in batch.column(3).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*batch.schema.names, "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, now = None, None
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                convs, roles, texts, sizes = (c.to_pylist() for c in whole.slice(i, 1024).columns)
+                ready, at = [], 0
+                while at < len(convs):
+                    to = at + 1
+                    while to < len(convs) and convs[to] == convs[at]:
+                        to += 1
+                    if state is None or convs[at] != now:
+                        if state:
                             ready.append((now, state.close()))
-                        state, now, begun = Windows(budget, history, target), conv, True
-                    ready += [(now, w) for w in state.add(Turn(role, text, size + OVERHEAD))]
+                        state, now = Windows(budget, history, target), convs[at]
+                    ready += [(now, w) for w in state.extend([Turn(r, t, n + OVERHEAD) for r, t, n in zip(roles[at:to], texts[at:to], sizes[at:to], strict=True)])]
+                    at = to
                 if ready:
                     yield _table(ready)
-                    ready = []
-        if state and state.new:
+        if state:
             yield _table([(now, state.close())])
 
     rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("turn").cast("long").alias("turn")
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
+    rows = rows.mapInArrow(measure, "conv_id long, turn long, role string, text string, tokens long")
     rows = rows.repartition(*([partitions] if partitions else []), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(run, _OUT)
+    return rows.select("conv_id", "role", "text", "tokens").mapInArrow(run, _OUT)
 
 
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.DOTALL)
