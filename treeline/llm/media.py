@@ -14,7 +14,7 @@ the given one are left as they are; results whose names clash get underscores.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -74,6 +74,19 @@ def store(payload: bytes, unit: int = UNIT, chunk: int = CHUNK, key_every: int =
     return b"".join((ftyp, head, payload, _box(b"moov", mvhd, _box(b"trak", tkhd, mdia))))
 
 
+class _Same(Sequence):
+    """One size, so many times."""
+
+    def __init__(self, size: int, n: int):
+        self.size, self.n = size, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> int:
+        return self.size
+
+
 @dataclass
 class Track:
     handler: str = ""
@@ -84,7 +97,7 @@ class Track:
 
     def ranges(self, size: int) -> Iterator[tuple[int, int]]:
         """(offset, bytes) of each sample, from the tables of sizes, chunks and chunk offsets."""
-        sizes = self._sizes()
+        sizes = self._sizes(size)
         where = self.tables.get(b"stco", b"")
         offsets = struct.unpack_from(f">{_count(where, 4, 4)}I", where, 8) if where else ()
         if b"co64" in self.tables:
@@ -107,21 +120,30 @@ class Track:
         if done < total:
             raise ValueError("chunks hold fewer samples than there are sizes")
 
-    def _sizes(self) -> list[int]:
+    def _sizes(self, size: int) -> Sequence[int]:
+        """Bytes of each sample of a file of that size; equal sizes take no memory, and a count that the tables or the file cannot hold is an error."""
         if b"stz2" in self.tables:
             t = self.tables[b"stz2"]
             bits, n = struct.unpack_from(">II", t, 4)
+            if bits not in (4, 8, 16) or len(t) < 12 + (n * bits + 7) // 8:
+                raise ValueError("the size table is cut off")
             if bits == 16:
-                return list(struct.unpack_from(f">{n}H", t, 12))
+                return struct.unpack_from(f">{n}H", t, 12)
             raw = t[12 : 12 + (n * bits + 7) // 8]
-            return list(raw[:n]) if bits == 8 else [v for b in raw for v in (b >> 4, b & 15)][:n]
+            return raw[:n] if bits == 8 else [v for b in raw for v in (b >> 4, b & 15)][:n]
         t = self.tables.get(b"stsz", bytes(12))
         same, n = struct.unpack_from(">II", t, 4)
         if same:
-            return [same] * n
+            if n * same > size:
+                raise ValueError("samples are larger than the file")
+            return _Same(same, n)
         if len(t) < 12 + 4 * n:
             raise ValueError("the size table is cut off")
-        return list(struct.unpack_from(f">{n}I", t, 12))
+        return struct.unpack_from(f">{n}I", t, 12)
+
+    def has_samples(self) -> bool:
+        name, at = (b"stz2", 8) if b"stz2" in self.tables else (b"stsz", 8)
+        return struct.unpack_from(">I", self.tables.get(name, bytes(12)), at)[0] > 0
 
     def keyframes(self) -> set[int] | None:
         """Numbers of keyframes from 0; None if each sample is one."""
@@ -198,7 +220,7 @@ def tracks(data: bytes) -> list[Track]:
 
 def _first(data: bytes) -> Track:
     for t in tracks(data):
-        if t._sizes():
+        if t.has_samples():
             return t
     raise ValueError("no track has samples")
 
