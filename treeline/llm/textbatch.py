@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 18
+#: Bytes and rows of a slice at most; a text that has more bytes is a slice by itself.
+SLICE_BYTES, SLICE_ROWS = 1 << 18, 1_024
 
 _M64 = (1 << 64) - 1
 
@@ -59,10 +60,10 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES, max_rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets): slices of the batches with the UTF-8 bytes of a text column.
 
-    A slice has one row at least, and no more bytes than max_bytes unless one text alone has more.
+    A slice has one row at least, max_rows at most, and no more bytes than max_bytes unless one text alone has more.
     """
     for batch in batches:
         texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()), b"")
@@ -73,7 +74,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int =
         data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         at = 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1)
+            to = max(at + 1, min(at + max_rows, int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1))
             own = offsets[at : to + 1]
             yield batch.slice(at, to - at), data[own[0] : own[-1]], own - own[0]
             at = to
