@@ -8,12 +8,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from treeline.llm import ann, chat, langid, media, ngramjoin, packing, piecetrie, quality, queries, tokencount, toxicity
 from treeline.llm.components import components
-from treeline.llm.textbatch import ALNUM, NOT_SPACE, Words
+from treeline.llm.textbatch import ALNUM, NOT_SPACE, Words, text_slices
 from treeline.llm.wordbpe import ChunkEncoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -194,6 +195,39 @@ def test_media(spark, sf):
     assert all(out[i].codec_ is None and out[i].media_error for i in (2, 3, 4, 5))
 
 
+def test_media_counts_are_checked_before_they_cost_memory(spark):
+    """Headers that promise more samples than a file can hold are errors, in whatever table."""
+    file = media.store(bytes(192 * 40))
+    at = file.index(b"stsz") + 4
+    for n, same in ((2**32 - 1, 1), (2**32 - 1, 192), (60_000_000, 192), (2**32 - 1, 0)):
+        wrong = bytearray(file)
+        wrong[at + 4 : at + 12] = same.to_bytes(4, "big") + n.to_bytes(4, "big")
+        assert media.scan(bytes(wrong)).error
+    for name in (b"stco", b"stsc", b"stss", b"stts"):
+        wrong = bytearray(file)
+        i = file.index(name) + 8
+        wrong[i : i + 4] = b"\xff" * 4
+        assert media.scan(bytes(wrong)).error or name == b"stts"
+
+
+def test_pieces_of_long_and_repeated_words():
+    """All words go through the trie, runs of marks and of one sign too."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib, enc, rng = sentencepiece.SentencePieceProcessor(model_file=path), piecetrie.PieceEncoder(path), random.Random(1)
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(n))) for signs, n in (([" ", "a", "b"], 60), (["in", "the", "==", " ", "    ", "000", "é"], 80), (list("etaoin  \n"), 400)) for _ in range(100)]
+    texts += [" " * i + "the" + " " * i for i in range(40)] + ["a" * 5_000, "=" * 3_000, " " * 3_000]
+    for text, got in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == lib.encode(text)
+
+
+def test_slices_are_bounded_in_rows():
+    batch = pa.RecordBatch.from_pydict({"text": ["ab"] * 5_000 + [None, "x" * 600_000, ""]})
+    sizes = [rows.num_rows for rows, _, _ in text_slices([batch], "text")]
+    assert sum(sizes) == 5_003 and max(sizes) <= 1_024
+
+
 def test_nearest_against_brute_force(spark, sf):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16)).astype(np.float32)
@@ -328,6 +362,46 @@ def test_join_counts_all_links(spark, monkeypatch):
     assert max(brute.values()) > 20 and {r.doc_id: r.n_links for r in found} == brute
 
 
+def naive_windows(turns, budget, history):
+    """(turns repeated, new turns) of each window, turn by turn: history gives way to the first new turn, new turns follow while they fit."""
+    out, at, before = [], 0, []
+    system = [0] if turns[0].role == "system" else []
+    while at < len(turns):
+        keep = system if at else []
+        again = list(before)
+        size = lambda ids: sum(turns[i].tokens for i in ids)
+        while again and size(keep + again) + turns[at].tokens > budget:
+            again.pop(0)
+        new = [at]
+        while new[-1] + 1 < len(turns) and size(keep + again + new) + turns[new[-1] + 1].tokens <= budget:
+            new.append(new[-1] + 1)
+        out.append((keep + again, new))
+        at, before = new[-1] + 1, []
+        room = min(history, budget - size(system))
+        for i in reversed([i for i in again + new if i not in system]):
+            if size(before) + turns[i].tokens > room:
+                break
+            before.insert(0, i)
+    return out
+
+
+def test_windows_against_a_naive_cutter():
+    """Spans by prefix sums, turns given in runs of any length."""
+    rng = random.Random(4)
+    for _ in range(300):
+        budget, history = rng.choice([30, 60, 100]), rng.choice([5, 20, 60])
+        turns = [chat.Turn("system" if not i and rng.random() < 0.5 else rng.choice(["user", "assistant"]), f"t{i}", rng.choice([1, 2, 9, 20, 40, 120])) for i in range(rng.randrange(1, 40))]
+        w, found, i = chat.Windows(budget, history), [], 0
+        while i < len(turns):
+            n = rng.randrange(1, 8)
+            found += w.extend(turns[i : i + n])
+            i += n
+        found.append(w.close())
+        want = naive_windows(turns, budget, history)
+        assert [(x["n_repeated"], x["first_turn"], x["n_new"]) for x in found] == [(len(a), n[0], len(n)) for a, n in want]
+        assert [x["text"] for x in found] == ["".join(turns[j].formatted() for j in a + n) for a, n in want]
+
+
 def test_history_gives_way_to_a_long_turn():
     w = chat.Windows(1024, 256)
     sizes = [20, 200, 700, 240, 900, 100, 1000, 30]
