@@ -188,3 +188,19 @@ def framed_lines(chunks: Iterator[bytes]) -> Iterator[str]:
             if not line:
                 raise ValueError("an empty line")
             yield line.decode()
+
+
+def episode_outcomes(steps: DataFrame, max_steps: int, max_actions: int, max_seconds: float) -> DataFrame:
+    """Per episode over steps (episode, step, kind, seconds, error): counts, and how it ended: error, stopped, step_limit, action_limit, time_limit or open.
+
+    An episode ends at the first step that fails, stops or reaches a limit; later steps do not count.
+    """
+    w = Window.partitionBy("episode").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    run = steps.withColumns({"_n": F.count("*").over(w), "_a": F.sum((F.col("kind") == "action").cast("int")).over(w), "_s": F.sum("seconds").over(w)})
+    end = (
+        F.when(F.col("error").isNotNull(), "error").when(F.col("kind") == "stop", "stopped").when(F.col("_n") >= max_steps, "step_limit")
+        .when(F.col("_a") >= max_actions, "action_limit").when(F.col("_s") >= max_seconds, "time_limit")
+    )
+    run = run.withColumn("_end", end).withColumn("_over", F.max(F.col("_end").isNotNull()).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    counted = run.where(~F.coalesce("_over", F.lit(False)))
+    return counted.groupBy("episode").agg(F.count("*").alias("steps"), F.sum((F.col("kind") == "action").cast("int")).alias("actions"), F.sum("seconds").alias("seconds"), F.coalesce(F.max("_end"), F.lit("open")).alias("status"))
