@@ -307,10 +307,11 @@ class Compactor:
             if not any(self.element[j] for j in gone):
                 continue
             preview = excerpt(self.text_of(i), PREVIEW)
+            size -= self.own_size(i) + sum(map(self.own_size, gone))
             for j in gone:
                 self.state[j], self.stands[j], self.reason[j] = "deferred", i, "budget-fold"
             self.attributes[i] |= {"data-folded": "true", "data-deferred": str(sum(self.element[j] for j in gone))} | ({"data-preview": preview} if preview else {})
-            size = self.size()
+            size += self.own_size(i)
 
     def repair(self) -> None:
         """Relations to what is gone keep the ends that are left, and tell the others."""
@@ -335,8 +336,16 @@ class Compactor:
         ref = "" if self.tag[i] in ("html", "head") else f' data-r="{_base36(i)}"'
         return f"<{self.tag[i]}" + "".join(f' {k}="{_escape(v, True)}"' for k, v in self.attributes[i].items()) + ref + ">"
 
+    def own_size(self, i: int) -> int:
+        """Bytes of a shown node's tags or text."""
+        if not self.shown(i):
+            return 0
+        if not self.element[i]:
+            return len(_escape(self.text[i]).encode())
+        return len(self.start(i).encode()) + (0 if self.tag[i] in VOID else len(self.tag[i]) + 3)
+
     def size(self) -> int:
-        return sum((len(self.start(i).encode()) + (0 if self.tag[i] in VOID else len(self.tag[i]) + 3) if self.element[i] else len(_escape(self.text[i]).encode())) for i in range(len(self.rows)) if self.shown(i))
+        return sum(map(self.own_size, range(len(self.rows))))
 
     def html(self) -> str:
         out: list[str] = []
