@@ -369,9 +369,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     linked = reduce(DataFrame.unionByName, [x.df for x in links])
     last = components(linked)
 
-    grouped = classes.df.join(small_side(last.df), classes.df.set_id == last.df.id, "left").select("set_id", "low", "copies", F.coalesce("component", "set_id").alias("part"))
-    whole = grouped.groupBy("part").agg(F.min("low").alias("component_id"))
-    named = grouped.join(whole, "part").select("set_id", "copies", "component_id")
+    # only linked sets go by component, whose smallest documents are sent to them rather than all sets dealt by component
+    grouped = classes.df.join(small_side(last.df), classes.df.set_id == last.df.id).select("set_id", "low", "component")
+    whole = Stored(grouped.groupBy("component").agg(F.min("low").alias("component_id")), "whole")
+    moved = grouped.join(small_side(whole.df), "component").select("set_id", "component_id")
+    named = classes.df.join(moved, "set_id", "left").select("set_id", "copies", F.coalesce("component_id", "low").alias("component_id"))
     n_links = F.lit(0).cast("long")
     if count_links:
         sides = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -382,7 +384,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         "doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("component_id", "doc_id").alias("component_id"), n_links.alias("n_links")
     )
     result = stored(found if count_links else found.drop("n_links"), "near")
-    for table in (known, classes, held, pairs, last, *links, *([label, own] if label is not None else [])):
+    for table in (known, classes, held, pairs, last, whole, *links, *([label, own] if label is not None else [])):
         table.drop()
     return result
 
