@@ -33,6 +33,18 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_parts_and_suppliers_of_one_id_stay_apart(spark, tmp_path):
+    """From 1,000,000 parts on, both have ids that the other one has."""
+    db = duckdb.connect()
+    db.execute("create table part as select unnest([3, 4, 1000001, 1000002, 1000003, null])::bigint as p_partkey, 'B' as p_brand")
+    db.execute("create table supplier as select unnest([1, 2, 3, null])::bigint as s_suppkey")
+    for t in ("part", "supplier"):
+        db.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    want = rows(db.sql(ORACLE["upserted_catalog"]).df())
+    assert len(want) == 10
+    assert rows(QUERIES["upserted_catalog"](spark, str(tmp_path)).toPandas()) == want
+
+
 def test_stream_and_table_windows_agree(spark, tmp_path):
     from treeline.streaming import logtail
 

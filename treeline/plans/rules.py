@@ -261,10 +261,12 @@ def one_to_one(spark, sf_dir):
 
 @query("select p_partkey as id, case when p_partkey % 3 = 0 then 'new' else p_brand end as label from part union all select 1000000 + s_suppkey, 'new' from supplier")
 def upserted_catalog(spark, sf_dir):
-    """A catalog with some entries replaced, and more added."""
+    """A catalog with some entries replaced, and more added. Ids of parts go beyond those that suppliers begin with, so an entry is known by its source and id."""
     p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    new = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.lit("new").alias("label")).unionByName(s.select((1_000_000 + F.col("s_suppkey")).alias("id"), F.lit("new").alias("label")))
-    return records.upserted(p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label")), new, "id")
+    entry = lambda source, id_, label: [F.lit(source).alias("source"), id_.alias("id"), label.alias("label")]
+    parts = p.select(*entry("part", F.col("p_partkey"), F.col("p_brand")))
+    new = parts.where("id % 3 = 0").withColumn("label", F.lit("new")).unionByName(s.select(*entry("supplier", 1_000_000 + F.col("s_suppkey"), F.lit("new"))))
+    return records.upserted(parts, new, ["source", "id"]).select("id", "label")
 
 
 @query("""select conv_id, turn, list_sort(list_filter([role, 'user', 'x' || (turn % 3)], lambda c: not list_contains(['user', 'x1'], c)))[1] as first_warning from conversations""")

@@ -231,8 +231,8 @@ def catalogued(datasets: DataFrame) -> DataFrame:
     return datasets.groupBy("id").agg(F.sort_array(F.collect_set("variant")).alias("variants"), F.max("n_nodes").alias("n_nodes"))
 
 
-def upserted(catalog: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of the catalog, those of the new table in place of theirs with the same key."""
+def upserted(catalog: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows of the catalog, those of the new table in place of theirs with the same key. Entries of several sources, whose ids may meet, have the source in the key."""
     return catalog.join(new, key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
