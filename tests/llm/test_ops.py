@@ -362,6 +362,36 @@ def test_join_counts_all_links(spark, monkeypatch):
     assert max(brute.values()) > 20 and {r.doc_id: r.n_links for r in found} == brute
 
 
+def test_join_pairs_no_more_than_its_index_has_rows(spark, monkeypatch):
+    """A chain of texts that link with near neighbours only, and long texts that share hundreds of signatures and do not link: pairs that are left to the last join."""
+    monkeypatch.setattr(ngramjoin, "FREQUENT_FROM", 5)
+    rng = random.Random(5)
+    stream = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(stream[i : i + 120])) for i in range(240)]
+    for i in range(3):
+        long = [f"l{i}x{j}" for j in range(800)]
+        rows += [(300 + 10 * i + j, " ".join(w if rng.random() < 0.98 else f"n{j}x{at}" for at, w in enumerate(long))) for j in range(4)]
+    held = {}
+
+    class Seen(ngramjoin.Stored):
+        def drop(self):
+            if self.name == "mixed":  # pairs of different parts, bucket by bucket
+                at = self.df.select("sig", "set_id", "part")
+                held["left"] = at.join(at.toDF("sig", "other", "there"), "sig").where("set_id < other and part <> there").count()
+            elif self.name == "index":
+                held["postings"] = self.df.count()
+            super().drop()
+
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            self.name = name
+
+    monkeypatch.setattr(ngramjoin, "Stored", Seen)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert found == brute_components(rows, 4, 85)
+    assert 0 < held["left"] <= held["postings"]
+
+
 def naive_windows(turns, budget, history):
     """(turns repeated, new turns) of each window, turn by turn: history gives way to the first new turn, new turns follow while they fit."""
     out, at, before = [], 0, []

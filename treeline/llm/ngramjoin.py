@@ -10,12 +10,13 @@ n - 1 (frequent) of them that the other set lacks, more in all than the
 similarity lets a set lack. What the index proposes is verified on whole sets.
 
 Equal sets share one set id and are indexed and verified once. Sets are verified
-against one pivot of their buckets first. If the sets that are then still apart
-inside buckets make more pairs than a bound for each posting, shares of the
-buckets get pivots of their own, in rounds. Only sets that are still in different
-components are paired inside a bucket after that, all of them that sizes,
-matched shingles and sketches let link. So a group of thousands costs some tens
-of thousands of comparisons, not millions. Sets and shingles go by 64-bit hashes.
+against one pivot of their buckets first. Buckets that hold the same sets are
+one from then on. If the sets that are then still apart inside buckets make more
+pairs than postings, shares of the buckets get pivots of their own, in rounds, as
+long as these link. Only sets that are still in different components are paired
+inside a bucket after that, all of them that sizes, matched shingles and sketches
+let link: what is left of a group there are the pairs of sets that do not reach the
+similarity, which only their comparison can tell. Sets and shingles go by 64-bit hashes.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing. A document of fewer words than a shingle has its whole
@@ -55,8 +56,9 @@ SHARED = 16
 SUBCLASSES = 16
 SMALL_SET = 128
 #: Rounds of pivots at most, sets of a share of a bucket that one pivot stands for from the second round on, and pivots of a set in a round.
-#: Rounds end once what is left costs AFFORDED pairs a posting at most, or under a tenth of the pivots link. All that is left is paired exactly.
-ROUNDS, MANY, PARTNERS, AFFORDED = 6, 16, 8, 64
+#: Rounds end once what is left costs AFFORDED pairs a posting at most, so that it grows as the index does, or under a tenth of the pivots link.
+#: All that is left is paired exactly.
+ROUNDS, MANY, PARTNERS, AFFORDED = 6, 16, 8, 1
 
 
 def missing(n: int, percent: int) -> int:
@@ -318,24 +320,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         dealt = part.withColumn("share", share)
         first = dealt.groupBy("sig", "share").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(turn)).alias("order"), "set_id", "n", "m", "most", "part")).alias("p"))
         pairs = dealt.join(first, ["sig", "share"]).where("part <> p.part").where(can("", "p."))
-        pairs = pairs.groupBy(F.col("p.set_id").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("c"))
+        pairs = pairs.groupBy(F.col("p.set_id").alias("a"), F.col("set_id").alias("b")).agg(F.sum("times").alias("c"))
         if turn == 0:
             return pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         ranked = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))  # a set has a partner for each of its signatures at most
         return pairs.withColumn("rn", ranked).where(f"rn <= {PARTNERS}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def mixed(label: DataFrame) -> Stored:
-        """The index with parts, without buckets whose sets are all in one; members and cost (pairs of different parts) of the bucket."""
-        part = index.join(small_side(label), index.set_id == label.id, "left").select(*index.columns, F.coalesce("component", "set_id").alias("part"))
+    def parted(rows: DataFrame, label: DataFrame) -> DataFrame:
+        """Rows with the part of their set: its component so far, or the set itself."""
+        return rows.join(small_side(label), rows.set_id == label.id, "left").select(*rows.columns, F.coalesce("component", "set_id").alias("part"))
+
+    def mixed(part: DataFrame) -> Stored:
+        """The index with parts, without buckets whose sets are all in one, and members of the bucket.
+
+        Buckets of the same sets are one, which counts so many times: sets that share a hundred signatures meet once.
+        """
+        by_part = part.groupBy("sig", "part").agg(F.count("*").alias("c"), *(F.bit_xor(F.xxhash64("set_id", "rare", F.lit(i))).alias(f"h{i}") for i in (0, 1)))
+        buckets = by_part.groupBy("sig").agg(F.sum("c").alias("members"), F.count("*").alias("parts"), *(F.bit_xor(h).alias(h) for h in ("h0", "h1")))
+        buckets = buckets.where("parts > 1").groupBy("members", "h0", "h1").agg(F.min("sig").alias("sig"), F.count("*").alias("times"))
+        return Stored(part.join(buckets.select("sig", "members", "times"), "sig"), "mixed")
+
+    def cost(part: DataFrame) -> float:
+        """Pairs of sets of different parts, bucket by bucket."""
         by_part = part.groupBy("sig", "part").agg(F.count("*").alias("c"))
-        buckets = by_part.groupBy("sig").agg(F.sum("c").alias("members"), F.count("*").alias("parts"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-        buckets = buckets.where("parts > 1").select("sig", "members", ((F.col("members") * F.col("members") - F.col("squares")) / 2 / F.col("members")).alias("cost"))
-        return Stored(part.join(buckets, "sig"), "mixed")
+        buckets = by_part.groupBy("sig").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+        return buckets.agg(F.coalesce(F.sum((F.col("members") * F.col("members") - F.col("squares")) / 2), F.lit(0.0))).first()[0]
 
     links: list[Stored] = []
     label: Stored | None = None
     tried = None
-    part = index.withColumn("part", F.col("set_id"))
+    part = index.withColumns({"part": F.col("set_id"), "times": F.lit(1).cast("long")})
     for turn in range(ROUNDS):
         if count_links:
             break
@@ -347,12 +361,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if label is not None:
             label.drop()
         label = components(reduce(DataFrame.unionByName, [x.df for x in links]))
-        apart = mixed(label.df)
-        if turn:
+        if turn:  # parts only grow, so what the first turn left out stays out
+            apart = Stored(parted(own.df.drop("part"), label.df), "mixed")
             own.drop()
+        else:
+            apart = mixed(parted(index, label.df))
         own, part = apart, apart.df
-        cost = part.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
-        if cost <= AFFORDED * total or 10 * found < made:
+        if 10 * found < made or cost(part) <= AFFORDED * total:
             break
 
     # Sets that share a bucket and are still apart, pair by pair: this is exact for whatever the pivots left. For the links, all that share one.
@@ -360,8 +375,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     x, y = part.alias("x"), part.alias("y")
     pairs = (
         x.join(y, F.expr(f"x.sig = y.sig and x.set_id < y.set_id and x.part <> y.part and {can('x.', 'y.')} and {close('x.', 'y.')}"))
-        .selectExpr("x.set_id as a", "y.set_id as b", "x.n as xn", "x.m as xm", "y.n as yn", "y.m as ym", "x.rare")
-        .groupBy("a", "b", "xn", "xm", "yn", "ym").agg(F.sum(F.col("rare").cast("int")).alias("c"))
+        .selectExpr("x.set_id as a", "y.set_id as b", "x.n as xn", "x.m as xm", "y.n as yn", "y.m as ym", "if(x.rare, x.times, 0) as rare")
+        .groupBy("a", "b", "xn", "xm", "yn", "ym").agg(F.sum("rare").alias("c"))
         .where(enough("x", "y")).select("a", "b")
     )
     pairs = Stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
