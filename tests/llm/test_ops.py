@@ -392,6 +392,33 @@ def test_join_pairs_no_more_than_its_index_has_rows(spark, monkeypatch):
     assert 0 < held["left"] <= held["postings"]
 
 
+@pytest.mark.parametrize("least_of", [16, 1])
+def test_join_meets_frequent_pairs_once(spark, monkeypatch, least_of):
+    """Long texts just under and over the similarity, which share a hundred frequent pairs: two sets meet at few of them, and all of them meet."""
+    monkeypatch.setattr(ngramjoin, "FREQUENT_FROM", 5)
+    monkeypatch.setattr(ngramjoin, "AFFORDED", 1 << 20)
+    monkeypatch.setattr(ngramjoin, "LEAST_OF", least_of)
+    rng = random.Random(11)
+    rows = []
+    for i in range(90):
+        base = [f"b{i % 2}x{j}" for j in range(400)]
+        rows.append((i, " ".join(w if rng.random() < 0.985 else f"n{i}x{at}" for at, w in enumerate(base))))
+    meetings, held = ngramjoin._meetings, {}
+
+    def counted(part, may):
+        found = meetings(part, may)
+        at = found.where("not x.rare").selectExpr("x.set_id as a", "y.set_id as b")
+        every = part.alias("x").join(part.alias("y"), F.expr(f"x.sig = y.sig and x.set_id < y.set_id and x.part <> y.part and not x.rare and {may}")).selectExpr("x.set_id as a", "y.set_id as b")
+        held.update(made=at.count(), pairs=at.distinct().count(), all_made=every.count(), all_pairs=every.distinct().count())
+        return found
+
+    monkeypatch.setattr(ngramjoin, "_meetings", counted)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert found == brute_components(rows, 4, 85)
+    assert held["pairs"] == held["all_pairs"] > 100 and held["all_made"] > 30 * held["pairs"]
+    assert held["made"] < 1.1 * held["pairs"] if least_of == 16 else held["pairs"] < held["made"] < held["all_made"]
+
+
 def naive_windows(turns, budget, history):
     """(turns repeated, new turns) of each window, turn by turn: history gives way to the first new turn, new turns follow while they fit."""
     out, at, before = [], 0, []

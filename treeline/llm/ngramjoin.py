@@ -16,7 +16,9 @@ pairs than postings, shares of the buckets get pivots of their own, in rounds, a
 long as these link. Only sets that are still in different components are paired
 inside a bucket after that, all of them that sizes, matched shingles and sketches
 let link: what is left of a group there are the pairs of sets that do not reach the
-similarity, which only their comparison can tell. Sets and shingles go by 64-bit hashes.
+similarity, which only their comparison can tell. Two sets that share many frequent
+pairs are paired at one of them, the first of their least ones by classes that is
+the same. Sets and shingles go by 64-bit hashes.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing. A document of fewer words than a shingle has its whole
@@ -59,6 +61,8 @@ SMALL_SET = 128
 #: Rounds end once what is left costs AFFORDED pairs a posting at most, so that it grows as the index does, or under a tenth of the pivots link.
 #: All that is left is paired exactly.
 ROUNDS, MANY, PARTNERS, AFFORDED = 6, 16, 8, 1
+#: Classes of frequent pairs, of each of which a set's least one is compared so as to pair two sets at one signature; with more, fewer sets meet twice.
+LEAST_OF = 16
 
 
 def missing(n: int, percent: int) -> int:
@@ -271,6 +275,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _meetings(part: DataFrame, may: str) -> DataFrame:
+    """x, y: sets of different parts in one bucket of which `may` holds, a condition on sets; at each rare signature that they share, at frequent pairs as few times as they can.
+
+    Where their least frequent pairs of a class are the same, they share that pair, so the first such class tells
+    the one bucket that they meet in. Sets without such a class meet in each bucket that they share.
+    """
+    classes = range(LEAST_OF)
+    least = part.where("not rare").groupBy("set_id").agg(*(F.min(F.expr(f"if(pmod(sig, {LEAST_OF}) = {i}, sig, null)")).alias(f"l{i}") for i in classes))
+    part = part.join(least, "set_id", "left")
+    same = ", ".join(f"if(x.l{i} = y.l{i}, x.l{i}, null)" for i in classes)
+    once = f"coalesce({same}, x.sig) = x.sig"
+    return part.alias("x").join(part.alias("y"), F.expr(f"x.sig = y.sig and x.set_id < y.set_id and x.part <> y.part and (x.rare or {once}) and {may}"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, set_id, component_id, and n_links if count_links.
 
@@ -372,9 +390,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     # Sets that share a bucket and are still apart, pair by pair: this is exact for whatever the pivots left. For the links, all that share one.
     part = part.join(classes.df.select("set_id", *_SKETCH), "set_id")
-    x, y = part.alias("x"), part.alias("y")
     pairs = (
-        x.join(y, F.expr(f"x.sig = y.sig and x.set_id < y.set_id and x.part <> y.part and {can('x.', 'y.')} and {close('x.', 'y.')}"))
+        _meetings(part, f"{can('x.', 'y.')} and {close('x.', 'y.')}")
         .selectExpr("x.set_id as a", "y.set_id as b", "x.n as xn", "x.m as xm", "y.n as yn", "y.m as ym", "if(x.rare, x.times, 0) as rare")
         .groupBy("a", "b", "xn", "xm", "yn", "ym").agg(F.sum("rare").alias("c"))
         .where(enough("x", "y")).select("a", "b")
